@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsloom.llm import canon, mojibake, quality, repeats, sentences
+from parsloom.llm import bpe, canon, leakage, mojibake, quality, repeats, sentences, spans
 from parsloom.llm.common import deliveries_once, table, written
 
 
@@ -127,8 +127,36 @@ def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forms(spark, sf_dir).select("source_table", "doc_key", "consistent").dropDuplicates(["source_table", "doc_key"])
 
 
+# 6: token ids
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus there and back."""
+    return bpe.decode_column(p6_ids(spark, sf_dir)).select("doc_id", F.size("ids").alias("n_ids"), "decoded")
+
+
+# 7: leaked evaluation texts
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leak_report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"))
+
+
+# 8: shared spans
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_amounts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_units, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_consistent)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_units, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_consistent, p6_ids, p6_decoded, p7_found, p7_report, p8_found, p8_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
