@@ -289,14 +289,16 @@ def unlike(df: DataFrame, text: str = "text", persian: Column | None = None, cou
     """The rows of df whose text isn't in consistent form yet; null and empty texts never are among them.
 
     skip_damaged: for which rows texts damaged by a wrong encoding are left out (default: none)."""
-    from parsloom.llm.mojibake import damaged
+    from parsloom.llm.mojibake import all_spans
 
     counts = counts or {}
 
     @F.pandas_udf("boolean")
     def differs(texts, fa, skip):
         forms = {True: canon(True, counts), False: canon(False, counts)}
-        return pd.Series([bool(s) and forms[bool(p)](s) != s and not (k and damaged(s)) for s, p, k in zip(texts, fa, skip)], dtype=bool)
+        odd = [bool(s) and forms[bool(p)](s) != s for s, p in zip(texts, fa)]
+        bad = all_spans([s if o and k else None for s, o, k in zip(texts, odd, skip)])
+        return pd.Series([o and not b for o, b in zip(odd, bad)], dtype=bool)
 
     yes = lambda c, d: F.coalesce(c, F.lit(d)) if c is not None else F.lit(d)
     return df.where(differs(F.col(f"`{text}`"), yes(persian, True), yes(skip_damaged, False)))

@@ -48,6 +48,8 @@ FOREIGN = ["Москва", "Россия", "Дунай", "Киев", "Волга
 LOST = "�"
 #: A span is damage if its inverse holds this many Arabic-script letters, and this share of what isn't ASCII.
 LEAST_LETTERS, LEAST_SHARE = 6, 0.8
+#: Characters beside a trace that are labelled too, and how many texts are labelled side by side.
+MARGIN, SIDE_BY_SIDE = 40, 64
 STAY = 14.0  # the cost of leaving or entering a pair's state, in nats
 
 
@@ -149,6 +151,8 @@ class Model:
         self.alone = [c for c in chars if not ("؀" <= c <= "ۿ" or c in "«»،؛؟…–‌")]
         #: The characters that some pair leaves behind; without any of them nothing is damaged.
         self.trace = re.compile("[" + "".join(map(re.escape, self.alone)) + "\x80-\x9f]|(?:^|\\s)\\?\\?+\\s+\\?\\?")
+        self.odd = re.compile("[" + "".join(map(re.escape, self.alone)) + "\x80-\x9f?]")
+        self.lost = re.compile(r"\?\?+\s+\?\?")
         ids = {c: i for i, c in enumerate(chars)}
         self.n = n = len(chars) + 4  # + the question mark, ASCII letters, other ASCII, all else
         self.mark = n - 4
@@ -171,7 +175,7 @@ class Model:
             np.add.at(two, (k[:-1], k[1:]), 1.0)
             strength = 3.0
             tables.append(np.log((two + strength * uni[None, :]) / (two.sum(1, keepdims=True) + strength)))
-        self.tables = np.stack(tables)  # state, character before, character
+        self.tables = np.ascontiguousarray(np.stack(tables, axis=-1).astype(np.float32))  # character before, character, state
 
     def _clean(self, chars: list[str]) -> np.ndarray:
         """The clean state: ordinary words of one alphabet, small letters after small ones, few symbols."""
@@ -208,30 +212,59 @@ class Model:
         out[self.mark, self.mark] = 0.3
         return np.log(out)
 
-    def labels(self, text: str) -> np.ndarray:
-        """The state of each character on the most likely path (Viterbi over runs of equal staying costs)."""
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        k = self.index[np.minimum(codes, 0xFFFF)]
-        before = np.empty_like(k)
-        before[0], before[1:] = self.n - 2, k[:-1]
-        scores = self.tables[:, before, k]  # state, position
-        states, n = scores.shape
-        best = scores[:, 0].copy()
-        best[1:] -= STAY
-        came = np.zeros((n, states), dtype=np.int8)
-        own = np.arange(states, dtype=np.int8)
-        steps = np.ascontiguousarray(scores.T)
-        for t in range(1, n):
-            top = int(best.argmax())
-            jump = best[top] - STAY
-            stay = best >= jump
-            came[t] = np.where(stay, own, top)
-            best = np.where(stay, best, jump) + steps[t]
-        out = np.empty(n, dtype=np.int8)
-        s = int(best.argmax())
-        for t in range(n - 1, -1, -1):
-            out[t] = s
-            s = came[t, s]
+    def windows(self, text: str) -> list[tuple[int, int]]:
+        """The stretches around characters that a pair may have left; elsewhere every path is clean.
+
+        Words of one alphabet with small letters after their first, as names have, are ordinary: a few of them, and little
+        beside them, are cheaper to explain as clean than the entering and leaving of any pair's state."""
+        if not self.trace.search(text):
+            return []
+        rest = _ORDINARY.sub("", text)
+        if len(self.odd.findall(rest)) <= 3 and not self.lost.search(rest):
+            return []
+        out: list[list[int]] = []
+        for m in self.odd.finditer(text):
+            i = m.start()
+            if out and i - out[-1][1] <= 2 * MARGIN:
+                out[-1][1] = i + 1
+            else:
+                out.append([i, i + 1])
+        return [(max(0, a - MARGIN), min(len(text), b + MARGIN)) for a, b in out if b - a > 3]
+
+    def labels(self, texts: list[str]) -> list[np.ndarray]:
+        """The state of each character on the most likely path (Viterbi; leaving a state costs the same for all), side by side for texts of like length."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(texts)
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        for at in range(0, len(order), SIDE_BY_SIDE):
+            group = order[at : at + SIDE_BY_SIDE]
+            longest, rows = len(texts[group[-1]]), len(group)
+            scores = np.zeros((longest, rows, self.tables.shape[2]), dtype=np.float32)  # padding says nothing
+            for r, i in enumerate(group):
+                codes = np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                k = self.index[np.minimum(codes, 0xFFFF)]
+                before = np.empty_like(k)
+                before[0], before[1:] = self.n - 2, k[:-1]
+                scores[: len(k), r] = self.tables[before, k]
+            own = np.arange(scores.shape[2], dtype=np.int8)[None, :]
+            each = np.arange(rows)
+            best = scores[0].copy()
+            best[:, 1:] -= STAY
+            came = np.empty(scores.shape, dtype=np.int8)
+            for t in range(1, longest):
+                top = best.argmax(1)
+                jump = (best[each, top] - STAY)[:, None]
+                stay = best >= jump
+                came[t] = np.where(stay, own, top[:, None])
+                best = np.maximum(best, jump)
+                best += scores[t]
+            state = best.argmax(1)
+            path = np.empty((longest, rows), dtype=np.int8)
+            for t in range(longest - 1, 0, -1):
+                path[t] = state
+                state = came[t, each, state]
+            path[0] = state
+            for r, i in enumerate(group):
+                out[i] = path[: len(texts[i]), r]
         return out
 
 
@@ -240,25 +273,23 @@ def model() -> Model:
     return Model()
 
 
+_ORDINARY = re.compile("(?<![Ѐ-ӿ])[Ѐ-Я]?[а-џ]{2,}(?![Ѐ-ӿ�])|(?<![Ͱ-Ͽ])[Α-ΩΆ-Ώ]?[ά-ώ]{2,}(?![Ͱ-Ͽ�])|(?<![A-Za-zÀ-ɏ])[A-ZÀ-ÖØ-ÞŒŠŽ]?[a-zß-öø-ÿœšž]*[a-z][a-zß-öø-ÿœšž]*(?![A-Za-zÀ-ɏ�])")
 _PERSIAN = re.compile("[ء-غف-يپچژکگیٱ-ۓ]")
 _ODD = re.compile("[^\x00-\x7f]")
 _MARKS = re.compile(r"(?:(?<=\s)|(?<=^))[«(]?[?�]+[.:!»)]*(?=\s|$)")
 _FINE = re.compile("[؀-ۿ‌«»…–—²°‍‎‏﻿À-ɏͰ-ӿ�]")
 
 
-def spans(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, pair, restored) of each damaged span; [] for null, blank and clean text."""
-    m = model()
-    if not text or not m.trace.search(text):
-        return []
-    lab = m.labels(text)
+def _judged(text: str, offset: int, lab: np.ndarray) -> list[tuple[int, int, str, str]]:
+    """The labelled stretches of a window whose inverse transform gives text."""
     cuts = np.flatnonzero(np.diff(lab)) + 1
     out = []
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(text)]):
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lab)]):
         s = int(lab[a])
         if not s:
             continue
         name, steps = PAIRS[s - 1]
+        a, b = a + offset, b + offset
         span = text[a:b]
         if s == len(PAIRS):
             if len(_MARKS.findall(span)) >= 2 and span.count("?") + span.count(LOST) >= LEAST_LETTERS:
@@ -271,26 +302,47 @@ def spans(text: str | None) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def all_spans(texts: list[str | None]) -> list[list[tuple[int, int, str, str]]]:
+    """For each text (start, end, pair, restored) of each damaged span; [] for null, blank and clean text."""
+    m = model()
+    out: list[list[tuple[int, int, str, str]]] = [[] for _ in texts]
+    places, pieces = [], []
+    for i, t in enumerate(texts):
+        if t:
+            for a, b in m.windows(t):
+                places.append((i, a))
+                pieces.append(t[a:b])
+    for (i, a), lab in zip(places, m.labels(pieces)):
+        out[i] += _judged(texts[i], a, lab)
+    return out
+
+
+def spans(text: str | None) -> list[tuple[int, int, str, str]]:
+    return all_spans([text])[0]
+
+
 def damaged(text: str | None) -> bool:
     return bool(spans(text))
 
 
-def restored(text: str | None) -> str | None:
-    """The text with its damaged spans put back; null for null."""
-    if text is None:
-        return None
+def put_back(text: str, found: list[tuple[int, int, str, str]]) -> str:
     out, at = [], 0
-    for a, b, _, plain in spans(text):
+    for a, b, _, plain in found:
         out += (text[at:a], plain)
         at = b
-    return "".join(out) + text[at:] if out else text
+    return "".join(out) + text[at:]
+
+
+def restored(text: str | None) -> str | None:
+    """The text with its damaged spans put back; null for null."""
+    return text and put_back(text, spans(text))
 
 
 def is_damaged(text):
     """Whether a text column's value holds a damaged span; false for null. Characters are labelled in Python, batch by batch."""
     @F.pandas_udf("boolean")
     def flag(texts: pd.Series) -> pd.Series:
-        return pd.Series([damaged(s) for s in texts], dtype=bool)
+        return pd.Series([bool(found) for found in all_spans(texts.tolist())], dtype=bool)
 
     return flag(text)
 
@@ -309,15 +361,11 @@ def repair(df: DataFrame, text: str = "text") -> DataFrame:
         raise ValueError(f"columns exist already: {sorted(taken)}")
 
     @F.pandas_udf("restored string, pairs array<string>")
-    def put_back(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s in texts:
-            found = spans(s)
-            out, at = [], 0
-            for a, b, _, plain in found:
-                out += (s[at:a], plain)
-                at = b
-            rows.append(("".join(out) + s[at:] if found else s, sorted({n for _, _, n, _ in found}) or None))
+    def back(texts: pd.Series) -> pd.DataFrame:
+        texts = texts.tolist()
+        rows = [(s and put_back(s, found), sorted({n for _, _, n, _ in found}) or None) for s, found in zip(texts, all_spans(texts))]
         return pd.DataFrame(rows, columns=["restored", "pairs"])
 
-    return df.withColumn("_repair", put_back(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in df.columns], "_repair.*")
+    # else a filter on a result would run the labelling a second time
+    back = back.asNondeterministic()
+    return df.withColumn("_repair", back(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in df.columns], "_repair.*")

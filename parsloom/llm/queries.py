@@ -48,7 +48,7 @@ def _units(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
     parts = []
     for name in ("wiki_doc", "hamshahri_doc", "persica_doc"):
         docs = table(spark, sf_dir, name).where(_filled("text")).select(F.lit(name).alias("source_table"), F.col("id").cast("string").alias("doc_key"), "text")
-        parts.append(sentences.sentence_units(docs, skip_damaged=name == "hamshahri_doc").select("source_table", "doc_key", "end_pos", *columns))
+        parts.append(sentences.sentence_units(docs, skip_damaged=name == "hamshahri_doc", units="unit" in columns).select("source_table", "doc_key", "end_pos", *columns))
     return _union(parts).dropDuplicates(["source_table", "doc_key", "end_pos"])
 
 
