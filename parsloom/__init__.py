@@ -1,0 +1 @@
+"""Persian text analytics as DataFrame operators."""
