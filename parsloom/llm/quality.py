@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from parsloom.llm.canon import canon
 from parsloom.llm.common import written
-from parsloom.llm.mojibake import restored
+from parsloom.llm.mojibake import all_spans, put_back
 from parsloom.llm.sentences import unit_ends
 
 STATISTICS = ("words", "mean_word_length", "symbol_share", "end_mark_share", "common_word_share", "prose_share")
@@ -118,10 +118,10 @@ def _pieces(unit: str) -> list[str]:
 def describe(text: str | None, common: frozenset[str]) -> tuple:
     """(language, words, mean word length, symbol share, end-mark share of lines, common-word share, prose share).
 
-    Nulls for null and blank text. Text damaged by a wrong encoding counts as what it was before."""
+    Nulls for null and blank text."""
     if text is None or not text.strip():
         return (None,) * 7
-    text = canon(True)(restored(text))
+    text = canon(True)(text)
     if not text.strip():
         return (None,) * 7
     scripts = {name: len(p.findall(text)) for name, p in _SCRIPTS}
@@ -157,7 +157,8 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
 
 
 def text_statistics(df: DataFrame, common_words: list[str], text: str = "text", into: str = "stats") -> DataFrame:
-    """df with one struct column of its text's statistics (all null for null and blank text).
+    """df with one struct column of its text's statistics (all null for null and blank text). Text damaged by a wrong
+    encoding counts as what it was before.
 
     common_words is a fixed list of a language's most common words and travels with the plan."""
     if into.lower() in (c.lower() for c in df.columns):
@@ -166,9 +167,12 @@ def text_statistics(df: DataFrame, common_words: list[str], text: str = "text",
 
     @F.pandas_udf(SCHEMA)
     def stats(texts: pd.Series) -> pd.DataFrame:
-        rows = [describe(s, _common(common)) for s in texts]
+        texts = texts.tolist()
+        rows = [describe(s and put_back(s, found), _common(common)) for s, found in zip(texts, all_spans(texts))]
         return pd.DataFrame(rows, columns=["language", *STATISTICS])
 
+    # else a filter on a statistic would take them all a second time
+    stats = stats.asNondeterministic()
     return df.withColumn(into, stats(F.col(f"`{text}`")))
 
 
