@@ -38,13 +38,11 @@ _SCRIPTS = [
     ("cyrillic", re.compile("[Ѐ-ӿ]")),
     ("greek", re.compile("[Ͱ-Ͽ]")),
 ]
-_UNSPACED = re.compile("[฀-๿぀-ヿ一-鿿]")
 _END = re.compile("[.!?؟。！？．｡۔।…][»”\"’'」』）)\\]\\s]*\\Z")
 _BULLET = re.compile(r"\s*(?:[•◦▪●‣*+–—-]\s+|(?:\(?\d{1,4}|[A-Za-zآ-ی])[.)\-]\s+)")
-_MARKUP = re.compile(r"https?://|www\.|</?[A-Za-z][^>]*>?|[{}<>\[\]=|\\]|\bfunction\b|\bvar\b|;\S|\t|[^\s،,]+[،,;][^\s،,;]+[،,;]\S|\S@\S")
-_SEPARATORS = re.compile(r"\s[|/\-–—•◦·»›*+]\s|[|\t]|(?<=\S)[;،,](?=\S)|[•◦▪●‣]")
-_CELLS = re.compile(r"\s*(?:\s[|/\-–—•◦·»›*+]\s|[|\t•◦▪●‣]|(?:(?<=\s)|^)\(?\d{1,3}[.)\-]\s)\s*")
-_SYMBOL = re.compile(r"[^\w‌̀-ًͯ-ٟ]|_")
+_MARKUP = re.compile(r"https?://|www\.|<(?:/?[A-Za-z][^>]*>?)?|[{}>\[\]=|\\\t]|function\b|var\b|;(?=\S)|[،,](?=[^\s،,;]+[،,;]\S)|@(?=\S)")
+_CELLS = re.compile(r"\s[|/\-–—•◦·»›*+]\s+|[|\t•◦▪●‣]\s*|(?:(?<=\s)|^)\(?\d{1,3}[.)\-]\s+")
+_SYMBOL = re.compile(r"[^\w\s‌̀-ًͯ-ٟ]|_")
 #: Frequent words of further languages in Latin or Arabic script.
 FUNCTION_WORDS = set(
     "der die das und den dem von zu mit auf ist im ein eine einen für nicht sich des am als le la les de des et un une du en à est dans près que qui pour sur au aux il elle "
@@ -61,22 +59,50 @@ def _common(words: tuple[str, ...]) -> frozenset[str]:
     return frozenset(form(w).lower() for w in words)
 
 
-def _is_prose(unit: str, common: frozenset[str], seen: dict[tuple, int]) -> bool:
+#: What a character is: a letter, a mark on one (or a joiner), a blank, a letter of a script without blanks, Devanagari, lost.
+_LETTER, _MARK, _BLANK, _DENSE, _HINDI, _LOST = (bytes([k]) for k in range(1, 7))
+
+
+@lru_cache(None)
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point of the first plane its kind and its script's number (0 for none)."""
+    kinds, scripts = np.zeros(0x10000, dtype=np.uint8), np.zeros(0x10000, dtype=np.uint8)
+    for o in range(0x10000):
+        c = chr(o)
+        if c == "‌" or re.match("[̀-ًͯ-ٟั-๎ऀ-ःऺ-ॏ]", c):
+            kinds[o] = 2
+        elif re.match("[฀-๿぀-ヿ一-鿿]", c):
+            kinds[o] = 4
+        elif re.match("[ऀ-ॿ]", c):
+            kinds[o] = 5
+        elif c in "?\ufffd":
+            kinds[o] = 6
+        elif c.isspace():
+            kinds[o] = 3
+        elif c.isalpha():
+            kinds[o] = 1
+        for i, (_, p) in enumerate(_SCRIPTS, 1):
+            if p.match(c):
+                scripts[o] = i
+    return kinds, scripts
+
+
+def _is_prose(unit: str, kinds: bytes, common: frozenset[str], seen: dict[tuple, int]) -> bool:
     """Whether a unit runs on as a sentence: words in a row, some of them function words, nothing said over and over."""
     text = unit.strip()
-    n = len(text) - text.count(" ")
-    if (text.count("?") + text.count("�")) * 2 > n:  # its letters are lost: only its shape is left
-        lost = [len(w) for w in text.split()]
-        return len(lost) >= 5 and 2 < sum(lost) / len(lost) < 8 and not _BULLET.match(text) and not re.search(r"[|;{}<>=]", text)
-    letters = sum(map(str.isalpha, text)) + text.count("‌") + len(re.findall("[̀-ًͯ-ٟั-๎ऀ-ःऺ-ॏ]", text))
+    n = len(kinds) - kinds.count(_BLANK)
+    lost, dense, hindi = kinds.count(_LOST), kinds.count(_DENSE), kinds.count(_HINDI)
+    if lost * 2 > n:  # its letters are lost: only its shape is left
+        sizes = [len(w) for w in text.split()]
+        return len(sizes) >= 5 and 2 < sum(sizes) / len(sizes) < 8 and not _BULLET.match(text) and not re.search(r"[|;{}<>=]", text)
+    letters = kinds.count(_LETTER) + kinds.count(_MARK) + dense + hindi
     if not n or letters < 0.72 * n:
         return False
-    dense = len(_UNSPACED.findall(text))
     if dense > 0.5 * n:
         key = (text[:60],)
         seen[key] = seen.get(key, 0) + 1
         return dense >= 8 and len(set(text)) >= min(12, 0.25 * dense) and seen[key] <= 3
-    words = [w.lower() for w in _WORD.findall(text)]
+    words = _WORD.findall(text.lower())
     if len(words) < 3:
         return False
     if len(set(words)) < 0.5 * len(words) and len(words) > 5:
@@ -85,18 +111,18 @@ def _is_prose(unit: str, common: frozenset[str], seen: dict[tuple, int]) -> bool
     seen[key] = seen.get(key, 0) + 1
     if seen[key] > 3:
         return False
-    marked = len(_MARKUP.findall(text))
+    marked = sum(1 for _ in _MARKUP.finditer(text))
     if marked and marked * 6 > len(words):
         return False
-    ended = bool(_END.search(text))
+    ended = bool(_END.search(text, max(0, len(text) - 12)))
     if _BULLET.match(text) and not (ended and len(words) >= 6):
         return False
-    hits = sum(w in common or w in FUNCTION_WORDS for w in words)
-    if len(re.findall("[ऀ-ॿ]", text)) > 0.5 * n:
+    if hindi > 0.5 * n:
         return len(words) >= 4
-    mean = sum(map(len, words)) / len(words)
+    mean = letters / len(words)
     if mean < 2 or mean > 14:
         return False
+    hits = sum(w in common or w in FUNCTION_WORDS for w in words)
     if ended:
         return hits >= 1 if len(words) < 12 else hits * 20 >= len(words)
     return len(words) >= 6 and hits >= 1 and hits * 12 >= len(words)
@@ -104,7 +130,7 @@ def _is_prose(unit: str, common: frozenset[str], seen: dict[tuple, int]) -> bool
 
 def _pieces(unit: str) -> list[str]:
     """A unit that holds a row of cells, entries or numbered items is judged by its pieces."""
-    if len(_CELLS.findall(unit)) >= 3:
+    if sum(1 for _ in _CELLS.finditer(unit)) >= 3:
         out, at = [], 0
         for m in _CELLS.finditer(unit):
             if m.end() > at:
@@ -124,34 +150,35 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
     text = canon(True)(text)
     if not text.strip():
         return (None,) * 7
-    scripts = {name: len(p.findall(text)) for name, p in _SCRIPTS}
-    if scripts["japanese"] > 0.1 * scripts["chinese"]:
-        scripts["japanese"] += scripts.pop("chinese")
-    language = max(scripts, key=lambda k: scripts[k])
-    if not scripts[language]:
+    kinds, scripts = _kinds()
+    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0xFFFF)
+    kind = kinds[codes].tobytes()
+    of = dict(zip([name for name, _ in _SCRIPTS], np.bincount(scripts[codes], minlength=len(_SCRIPTS) + 1)[1:].tolist()))
+    if of["japanese"] > 0.1 * of["chinese"]:
+        of["japanese"] += of.pop("chinese")
+    language = max(of, key=lambda k: of[k])
+    if not of[language]:
         language = "none"
-    words = _WORD.findall(text)
-    lower = [w.lower() for w in words]
-    lines = [x for x in text.split("\n") if x.strip()]
-    solid = "".join(text.split())
-    symbols = len(_SYMBOL.findall(solid))
+    words = _WORD.findall(text.lower())
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    solid = len(kind) - kind.count(_BLANK)
     prose, total, at = 0, 0, 0
     seen: dict[tuple, int] = {}
     for end in unit_ends(text):
-        unit = text[at:end]
-        at = end
-        for piece in _pieces(unit):
+        for piece in _pieces(text[at:end]):
             n = len(piece.strip())
             total += n
-            if n and _is_prose(piece, common, seen):
+            if n and _is_prose(piece, kind[at : at + len(piece)], common, seen):
                 prose += n
+            at += len(piece)
+        at = end
     return (
         language,
         float(len(words)),
-        float(np.mean([len(w) for w in words])) if words else 0.0,
-        symbols / max(1, len(solid)),
-        sum(bool(_END.search(x)) for x in lines) / max(1, len(lines)),
-        sum(w in common for w in lower) / max(1, len(words)),
+        sum(map(len, words)) / len(words) if words else 0.0,
+        len(_SYMBOL.findall(text)) / max(1, solid),
+        sum(bool(_END.search(x, max(0, len(x) - 12))) for x in lines) / max(1, len(lines)),
+        sum(w in common for w in words) / max(1, len(words)),
         prose / max(1, total),
     )
 
