@@ -86,7 +86,8 @@ def most_similar(queries: DataFrame, vectors: DataFrame, n: int, exclude_self: b
                     names = {k: w for k, w in names.items() if k in keep}
             ok = np.isfinite(top_s)
             r, c = np.nonzero(ok)
-            yield pd.DataFrame({"query": ids[r], "ix": top_i[r, c], "word": [names[k] for k in top_i[r, c].tolist()], "similarity": top_s[r, c]})
+            if len(r):
+                yield pd.DataFrame({"query": ids[r], "ix": top_i[r, c], "word": [names[k] for k in top_i[r, c].tolist()], "similarity": top_s[r, c]})
 
         return vectors.where("vec is not null").select(F.col("ix").cast("bigint"), "word", "vec").mapInPandas(best, schema)
 
