@@ -70,7 +70,7 @@ def _is_invisible(c: str) -> bool:
 
 @lru_cache(None)
 def look_alikes(persian: bool) -> tuple[tuple[tuple[str, ...], tuple[str, ...]], ...]:
-    """Classes of look-alike strings, each with its eligible representatives."""
+    """Classes of look-alike strings, each with its eligible representatives; where nothing is counted the first one is taken."""
     classes, plain = Classes(), set()
     for o in [*range(0x80, 0x3000), *range(0xA640, 0xAC00), *range(0xF900, 0xFFF0), *range(0x1D15E, 0x1D1C1)]:
         c = chr(o)
@@ -105,8 +105,12 @@ def look_alikes(persian: bool) -> tuple[tuple[tuple[str, ...], tuple[str, ...]],
             plain.add(c)
     out = []
     for members in classes.groups():
-        # a Persian letter or one of the plain forms, where the class has any; a letter without its mark never
-        best = [m for m in members if persian and m in PERSIAN_KIN] or [m for m in members if m in plain] or [m for m in members if len(m) == 1]
+        # a Persian letter and its kin, or one of the plain forms, where the class has any; a letter without its mark never
+        own = [m for m in members if persian and m in PERSIAN_KIN]
+        if own:
+            out.append((tuple(members), (own[0], *PERSIAN_KIN[own[0]])))
+            continue
+        best = [m for m in members if m in plain] or [m for m in members if len(m) == 1]
         least = min(map(len, best))
         out.append((tuple(members), tuple(sorted(m for m in best if len(m) == least))))
     return tuple(out)
@@ -211,19 +215,22 @@ class Canon:
         mixed = _MIXED.search(text)
         if not mixed and not self.unplain.search(text) and not (ZWNJ in text and _BAD_JOINER.search(text)):
             return text
+        for _ in range(4):  # what is rewritten may join its new neighbours
+            before, text = text, self.once(text)
+            if text == before:
+                break
+        return text
+
+    def once(self, text: str) -> str:
         text = self.hidden.sub("", text)
+        if ZWNJ in text:
+            text = _BAD_JOINER.sub("", re.sub(f"{ZWNJ}{{2,}}", ZWNJ, text))
         if self.width.search(text):
             text = self.narrow(text)
         if not ud.is_normalized("NFC", text):
             text = ud.normalize("NFC", text)
-        for _ in range(2):  # a rewritten character may join its neighbour
-            text = self.greedy(text)
-        if _MIXED.search(text):
-            text = self.alphabets(text)
-        if ZWNJ in text:
-            text = re.sub(f"{ZWNJ}{{2,}}", ZWNJ, text)
-            text = _BAD_JOINER.sub("", text)
-        return text
+        text = self.greedy(text)
+        return self.alphabets(text) if _MIXED.search(text) else text
 
 
 @lru_cache(8)
@@ -242,7 +249,7 @@ def contested() -> tuple[str, ...]:
 
 
 def member_counts(df: DataFrame, text: str = "text") -> dict[str, int]:
-    """How often each contested class member stands in df, counted over all rows.
+    """How often each contested class member stands in df, counted over all rows: Persian letters and their kin, in Persian text.
 
     The classes are a fixed table of the character database, so the driver gets a bounded number of rows. Null texts
     count nothing; where no class is contested nothing is read."""

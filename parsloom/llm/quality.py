@@ -228,7 +228,7 @@ def flag_tails(stats: DataFrame, tail: float = TAIL) -> DataFrame:
     The merged sketches judge languages of which most records are junk. A row without statistics has null scores and no tails.
     The sketches are one row per language, whose number is fixed by the scripts that are told apart, so they are broadcast."""
     sketches = language_sketches(stats)
-    merged = sketches.agg(*[F.kll_merge_agg_double(F.col(s)).alias(s) for s in STATISTICS])
+    merged = sketches.agg(F.count("*").alias("n"), *[F.kll_merge_agg_double(F.col(s)).alias(s) for s in STATISTICS]).where("n > 0")
     by_language, overall = sketches.select("language", *_middle(sketches, "own")), merged.select(*_middle(merged, "all"))
     joined = stats.join(F.broadcast(by_language), "language", "left").join(F.broadcast(overall), F.lit(True), "left")
     score = lambda name, s: (F.col(s) - F.col(f"_{name}_{s}.mid")) / F.col(f"_{name}_{s}.spread")

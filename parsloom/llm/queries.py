@@ -112,14 +112,14 @@ def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = _shown(spark, sf_dir)
-    counts = canon.member_counts(shown, "shown")
+    counts = canon.member_counts(shown.where("persian"), "shown")
     formed = canon.consistent(shown, "shown", F.col("persian"), counts)
     return formed.where((F.col("source_table") != "hamshahri_doc") | ~mojibake.is_damaged(F.col("shown")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = _shown(spark, sf_dir)
-    counts = canon.member_counts(shown, "shown")
+    counts = canon.member_counts(shown.where("persian"), "shown")
     return canon.unlike(shown, "shown", F.col("persian"), counts, skip_damaged=F.col("source_table") == "hamshahri_doc").select("source_table", "doc_key").distinct()
 
 
