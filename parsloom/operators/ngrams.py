@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parsloom.operators.dims import sized
+from parsloom.operators.tables import written
 
 
 def _pairs(tokens: Column) -> Column:
@@ -88,10 +89,10 @@ class Bigrams:
         return scored.groupBy(key).agg(F.when(mean.isNull(), F.lit(float("inf"))).otherwise(F.pow(F.lit(2.0), mean)).alias("perplexity"))
 
 
-def train(sentences: DataFrame, tokens: str = "tokens") -> Bigrams:
+def train(sentences: DataFrame, tokens: str = "tokens", keep: bool = False) -> Bigrams:
     """Counts of tokens and of neighbours within each sentence; null sentences and tokens count nothing.
 
-    Both counts are partial-and-final hash aggregations; a word that is a third of all tokens folds before the shuffle."""
+    keep writes the counts to the shared folder, for a model that is asked more than once. Both counts are partial-and-final hash aggregations; a word that is a third of all tokens folds before the shuffle."""
     one = sentences.select(F.explode(F.col(f"`{tokens}`")).alias("w")).where("w is not null").groupBy("w").agg(F.count("*").alias("c"))
     two = sentences.select(F.explode(_pairs(F.col(f"`{tokens}`"))).alias("p")).select("p.prev", "p.w").where("prev is not null and w is not null").groupBy("prev", "w").agg(F.count("*").alias("c"))
-    return Bigrams(one, two)
+    return Bigrams(written(one), written(two)) if keep else Bigrams(one, two)

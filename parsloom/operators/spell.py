@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parsloom.operators.dims import sized
+from parsloom.operators.tables import written
 
 #: The letters that may be put into a word.
 ALPHABET = "اآأإبپتثجچحخدذرزژسشصضطظعغفقکكگلمنوؤهةۀیيىئ"
@@ -75,11 +76,11 @@ def candidates(words: DataFrame, lexicon: DataFrame, word: str = "word", alphabe
     lexicon's deletions are joined with those of the words still open, and each pair is verified against the letters that
     may be put in. Null words are left out; "" is a word."""
     letters = frozenset(alphabet)
-    distinct = words.select(F.col(f"`{word}`").alias("word")).where("word is not null").distinct()
+    distinct = written(words.select(F.col(f"`{word}`").alias("word")).where("word is not null").distinct())
     table = sized(lexicon.select(F.col("word").alias("candidate")).where("candidate is not null").distinct())
     known = distinct.join(table.withColumnRenamed("candidate", "word"), "word", "left_semi").select("word", F.col("word").alias("candidate"))
     open1 = distinct.join(table.withColumnRenamed("candidate", "word"), "word", "left_anti")
-    first = open1.select("word", F.explode(edits1(F.col("word"), alphabet)).alias("candidate")).join(table, "candidate", "left_semi").select("word", "candidate")
+    first = written(open1.select("word", F.explode(edits1(F.col("word"), alphabet)).alias("candidate")).join(table, "candidate", "left_semi").select("word", "candidate"))
     open2 = open1.join(first.select("word").distinct(), "word", "left_anti")
 
     deletions = F.pandas_udf(_deletions, "array<string>")
@@ -91,7 +92,7 @@ def candidates(words: DataFrame, lexicon: DataFrame, word: str = "word", alphabe
     index = lexicon.select(F.col("word").alias("candidate")).where("candidate is not null").distinct().select("candidate", F.explode(deletions("candidate")).alias("d"))
     asked = open2.select("word", F.explode(deletions("word")).alias("d"))
     pairs = asked.join(index, "d").select("word", "candidate").distinct()
-    second = pairs.where(near("word", "candidate"))
+    second = written(pairs.where(near("word", "candidate")))
     rest = open2.join(second.select("word").distinct(), "word", "left_anti").select("word", F.col("word").alias("candidate"))
     return known.unionByName(first).unionByName(second).unionByName(rest)
 

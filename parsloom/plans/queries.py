@@ -3,7 +3,6 @@ Persian dimension tables."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +12,7 @@ from parsloom.functions import chars, rules, vectors
 from parsloom.functions import tokens as tk
 from parsloom.functions.stem import stem
 from parsloom.operators import dims, embeddings, informal, lemmas, ngrams, normalize, spell, verbs
+from parsloom.operators.tables import new_path, written
 from parsloom.plans import samples
 from parsloom.plans.pipeline import TextPipeline, parser_rows
 from parsloom.sources import corpora
@@ -114,7 +114,7 @@ def normalized_simple(spark, sf_dir):
 
 def normalized_full(spark, sf_dir):
     """With a lexicon counted from the documents and the sample verbs."""
-    lexicon = dims.lexicon_from(_tokens(spark, sf_dir)).where("frequency >= 20")
+    lexicon = written(dims.lexicon_from(_tokens(spark, sf_dir)).where("frequency >= 20"))
     forms = verbs.verb_forms(samples.roots(spark), joined=False)
     return normalize.normalize(_docs(spark, sf_dir), lexicon, forms).select("doc_id", "normalized")
 
@@ -139,9 +139,9 @@ def verb_form_table(spark, sf_dir):
 
 def lemmas_of_tokens(spark, sf_dir):
     """Lemmas of the documents' distinct tokens, the tokens of at least five occurrences being the lexicon."""
-    tokens = _tokens(spark, sf_dir).select("token")
-    lexicon = dims.lexicon_from(tokens).where("frequency >= 5")
-    return lemmas.lemmatize(tokens.distinct(), lexicon, verbs.verb_forms(samples.roots(spark)), "token")
+    counts = written(dims.lexicon_from(_tokens(spark, sf_dir)))
+    lexicon = counts.where("frequency >= 5")
+    return lemmas.lemmatize(counts.select(F.col("word").alias("token")), lexicon, verbs.verb_forms(samples.roots(spark)), "token")
 
 
 def lemma_cases(spark, sf_dir):
@@ -152,7 +152,7 @@ def lemma_cases(spark, sf_dir):
 def token_splits(spark, sf_dir):
     """Cuts of the misspelled words into words of the corrected ones."""
     entries = _table(spark, sf_dir, "spell_entry")
-    lexicon = dims.lexicon_from(entries.select(F.explode(tk.words(F.col("corrected"))).alias("token")))
+    lexicon = written(dims.lexicon_from(entries.select(F.explode(tk.words(F.col("corrected"))).alias("token"))))
     tokens = entries.select(F.explode(tk.words(F.col("misspelled"))).alias("token"))
     return lemmas.split_tokens(tokens, lexicon, verbs.verb_forms(samples.roots(spark))).select("token", F.to_json("splits").alias("splits"))
 
@@ -173,9 +173,9 @@ def informal_cases(spark, sf_dir):
 def informal_documents(spark, sf_dir):
     """Formal candidates of the words of miras_doc (informal in part), the words themselves being the lexicon from twenty occurrences on."""
     text = _table(spark, sf_dir, "miras_doc")
-    tokens = text.select(F.explode(tk.words(F.col("text"))).alias("token"))
-    lexicon = dims.lexicon_from(tokens).where("frequency >= 20")
-    out = informal.formal_candidates(tokens, informal.informal_verb_map(samples.informal_verbs(spark)), samples.informal_words(spark), lexicon, "token")
+    counts = written(dims.lexicon_from(text.select(F.explode(tk.words(F.col("text"))).alias("token"))))
+    lexicon = counts.where("frequency >= 20")
+    out = informal.formal_candidates(counts, informal.informal_verb_map(samples.informal_verbs(spark)), samples.informal_words(spark), lexicon)
     return out.select("word", F.array_join("candidates", "|").alias("candidates"))
 
 
@@ -191,7 +191,7 @@ def informal_stem_map(spark, sf_dir):
 
 def _spelling(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     entries = _table(spark, sf_dir, "spell_entry")
-    lexicon = dims.lexicon_from(entries.select(F.explode(tk.words(F.col("corrected"))).alias("token")))
+    lexicon = written(dims.lexicon_from(entries.select(F.explode(tk.words(F.col("corrected"))).alias("token"))))
     return entries.select("entry_id", F.explode(tk.words(F.col("misspelled"))).alias("word")), lexicon
 
 
@@ -218,16 +218,17 @@ def spell_corrections(spark, sf_dir):
 
 
 def _model(spark, sf_dir) -> tuple[DataFrame, ngrams.Bigrams]:
-    sents = _tokenized(spark, sf_dir)
-    return sents, ngrams.train(sents)
+    """The documents' sentences, cut once, and their counts."""
+    sents = written(_tokenized(spark, sf_dir))
+    return sents, ngrams.train(sents, keep=True)
 
 
 def unigram_counts(spark, sf_dir):
-    return _model(spark, sf_dir)[1].unigrams
+    return ngrams.train(_tokenized(spark, sf_dir)).unigrams
 
 
 def bigram_counts(spark, sf_dir):
-    return _model(spark, sf_dir)[1].bigrams
+    return ngrams.train(_tokenized(spark, sf_dir)).bigrams
 
 
 def bigram_probability(spark, sf_dir):
@@ -241,7 +242,7 @@ def unigram_probability(spark, sf_dir):
 
 
 def next_words(spark, sf_dir):
-    return _model(spark, sf_dir)[1].next_word()
+    return ngrams.train(_tokenized(spark, sf_dir)).next_word()
 
 
 def next_suggestions(spark, sf_dir):
@@ -258,7 +259,7 @@ def sentence_perplexity(spark, sf_dir):
 
 
 def model_sizes(spark, sf_dir):
-    return _model(spark, sf_dir)[1].sizes()
+    return ngrams.train(_tokenized(spark, sf_dir)).sizes()
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -326,12 +327,7 @@ def streamed_counts(spark, sf_dir):
     """Word counts of the documents as a stream, at its end."""
     from parsloom.streaming.counts import running_counts
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp()
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
     docs = _docs(spark, sf_dir)
     path = f"{sf_dir}/documents.parquet"
     jvm = spark.sparkContext._jvm

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import struct
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from parsloom.operators.tables import new_path
+
 Z = "‌"
 #: Common verbs, past and present root.
 VERBS = [
@@ -86,11 +87,8 @@ FILES["subword_model"] = ({"m.bin": subword_binary([("ایران", [3.0, 4.0, 0.
 
 def put(spark: SparkSession, name: str) -> str:
     """Write a reader's files to the shared folder (spark.checkpoint.dir, else a temporary one) and give the path to read."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
     files, at = FILES[name]
-    folder = f"{base}/samples-{uuid.uuid4().hex}"
+    folder = new_path(spark, "samples")
     jvm = spark.sparkContext._jvm
     for file, content in files.items():
         path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{file}")
