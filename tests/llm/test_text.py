@@ -177,6 +177,8 @@ def test_units(expected):
 def test_units_without_blanks_between():
     assert units("سد ساخته شد.باغ خریده شد.") == ["سد ساخته شد.", "باغ خریده شد."]
     assert units("下雪了。市长走了！") == ["下雪了。", "市长走了！"]
+    assert units("باز شد؟ب. برنژادین آمد.") == ["باز شد؟", "ب. برنژادین آمد."]
+    assert units("او مکث کرد... و‌ سپس رفت.") == ["او مکث کرد... و‌ سپس رفت."]
     assert units("کرد.ک. م. آرآراین آمد.") == ["کرد.", "ک. م. آرآراین آمد."]
 
 
