@@ -2,55 +2,28 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_PER_BATCH = 1024
+from parsloom.operators.tables import written
+
+#: Rows of a table up to which it is broadcast; what is larger is joined, skewed keys being split at runtime.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = named.get() if named.isDefined() else None
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="parsloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may be gone already
-        pass
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, so that it is computed once and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/parsloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def deliveries_once(df: DataFrame, key: str) -> DataFrame:
     """One row per key: redelivered rows carry the same content, so any of them will do."""
     return df.dropDuplicates([key])
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """The chosen columns only, so that nothing else is read."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df written once, to be broadcast where its counted rows are within the limit."""
+    kept = written(df)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
+__all__ = ["deliveries_once", "few", "table", "written"]

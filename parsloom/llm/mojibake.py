@@ -48,8 +48,8 @@ FOREIGN = ["Москва", "Россия", "Дунай", "Киев", "Волга
 LOST = "�"
 #: A span is damage if its inverse holds this many Arabic-script letters, and this share of what isn't ASCII.
 LEAST_LETTERS, LEAST_SHARE = 6, 0.8
-#: Characters beside a trace that are labelled too, and how many texts are labelled side by side.
-MARGIN, SIDE_BY_SIDE = 40, 64
+#: Characters beside a trace that are labelled too, how many texts are labelled side by side, and how many characters at most (100 MB).
+MARGIN, SIDE_BY_SIDE, LONGEST = 40, 64, 300_000
 STAY = 14.0  # the cost of leaving or entering a pair's state, in nats
 
 
@@ -229,14 +229,27 @@ class Model:
                 out[-1][1] = i + 1
             else:
                 out.append([i, i + 1])
-        return [(max(0, a - MARGIN), min(len(text), b + MARGIN)) for a, b in out if b - a > 3]
+        found = []
+        for a, b in out:
+            if b - a > 3:
+                a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
+                while b - a > LONGEST:  # cut at a blank, which no pair tears apart
+                    cut = text.rfind(" ", a + LONGEST // 2, a + LONGEST) + 1 or a + LONGEST
+                    found.append((a, cut))
+                    a = cut
+                found.append((a, b))
+        return found
 
     def labels(self, texts: list[str]) -> list[np.ndarray]:
         """The state of each character on the most likely path (Viterbi; leaving a state costs the same for all), side by side for texts of like length."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(texts)
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-        for at in range(0, len(order), SIDE_BY_SIDE):
+        at = 0
+        while at < len(order):
             group = order[at : at + SIDE_BY_SIDE]
+            while len(group) > 1 and len(group) * len(texts[group[-1]]) > LONGEST:
+                group = group[: len(group) // 2]
+            at += len(group)
             longest, rows = len(texts[group[-1]]), len(group)
             scores = np.zeros((longest, rows, self.tables.shape[2]), dtype=np.float32)  # padding says nothing
             for r, i in enumerate(group):

@@ -126,6 +126,14 @@ def test_texts_side_by_side_are_labelled_as_alone():
     assert mojibake.all_spans(texts) == [mojibake.spans(t) for t in texts]
 
 
+def test_very_long_texts(monkeypatch):
+    bad = " ".join([SENTENCE.encode().decode("latin-1")] * 40)
+    whole = mojibake.restored(bad)
+    monkeypatch.setattr(mojibake, "LONGEST", 700)
+    assert mojibake.restored(bad) == whole == " ".join([SENTENCE] * 40)
+    assert mojibake.all_spans([bad, SENTENCE, bad])[2] == mojibake.spans(bad)
+
+
 def test_repair_columns(spark):
     bad = SENTENCE.encode().decode("latin-1")
     df = spark.createDataFrame([(1, bad), (2, None), (3, ""), (4, SENTENCE), (1, bad)], "id int, text string")
