@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parsloom.functions.tokens import words
 from parsloom.functions.vectors import add, cosine, unit, zeros
 from parsloom.operators.dims import sized
 
@@ -32,9 +33,9 @@ def vocabulary(vectors: DataFrame) -> DataFrame:
     return vectors.select("ix", "word")
 
 
-def embed_words(words: DataFrame, vectors: DataFrame, word: str = "word", or_zero: bool = False, into: str = "vec") -> DataFrame:
-    """words with their vector: null, or zeros, for unknown and null words."""
-    out = words.join(sized(vectors.select(F.col("word").alias(word), F.col("vec").alias(into)), 50_000), word, "left")
+def embed_words(asked: DataFrame, vectors: DataFrame, word: str = "word", or_zero: bool = False, into: str = "vec") -> DataFrame:
+    """asked with the word's vector: null, or zeros, for unknown and null words."""
+    out = asked.join(sized(vectors.select(F.col("word").alias(word), F.col("vec").alias(into)), 50_000), word, "left")
     return out.withColumn(into, F.coalesce(into, zeros(dim(vectors)).cast("array<float>"))) if or_zero else out
 
 
@@ -134,6 +135,19 @@ def embed_sentences(sentences: DataFrame, vectors: DataFrame, key: str = "key",
     return sentences.select(key).distinct().join(mean, key, "left").select(key, F.coalesce(into, zeros(d)).alias(into))
 
 
+def embed_texts(texts: DataFrame, vectors: DataFrame, key: str = "key", text: str = "text", into: str = "embedding") -> DataFrame:
+    """(key, embedding) of texts, cut into words but not normalized; zeros for null and empty texts."""
+    return embed_sentences(texts.select(key, words(F.col(f"`{text}`")).alias("tokens")), vectors, key, "tokens", into)
+
+
+def text_similarity(pairs: DataFrame, vectors: DataFrame, a: str = "a", b: str = "b", into: str = "similarity") -> DataFrame:
+    """pairs of texts with the cosine similarity of their mean vectors; each distinct text is embedded once, a null text has a null one."""
+    texts = pairs.select(F.col(a).alias("key")).union(pairs.select(b)).where("key is not null").distinct()
+    means = embed_texts(texts.withColumn("text", F.col("key")), vectors)
+    out = pairs.join(means.select(F.col("key").alias(a), F.col("embedding").alias("_a")), a, "left").join(means.select(F.col("key").alias(b), F.col("embedding").alias("_b")), b, "left")
+    return out.select(*pairs.columns, cosine(F.col("_a"), F.col("_b")).alias(into))
+
+
 def sentence_similarity(a: DataFrame, b: DataFrame, vectors: DataFrame, key: str = "key", tokens: str = "tokens") -> DataFrame:
     """(key, similarity) of the sentences with the same key in a and b."""
     x = embed_sentences(a, vectors, key, tokens, "_a")

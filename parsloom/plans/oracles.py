@@ -291,6 +291,8 @@ def oracle_sql() -> dict[str, str]:
         "vector_similarity": f"WITH {_V} SELECT a.word AS a, CAST(a.ix + 1 AS VARCHAR) AS b, CASE WHEN b.vec IS NULL THEN NULL ELSE round({_COS.format(a='a.vec', b='b.vec')}, 6) END AS similarity FROM v a LEFT JOIN v b ON b.ix = a.ix + 1",
         "vector_odd_ones": f"WITH {_V}, pairs AS (SELECT a.ix // 5 AS key, a.ix, a.word, avg({_COS.format(a='a.vec', b='b.vec')}) AS m FROM v a JOIN v b ON a.ix // 5 = b.ix // 5 AND a.ix <> b.ix GROUP BY ALL) SELECT CAST(key AS BIGINT) AS key, arg_min(word, m) AS odd FROM pairs GROUP BY key",
         "vector_means": f"WITH {_V}, cells AS (SELECT label, unnest(range(0, len(vec))) AS i, unnest(vec) AS x FROM v) SELECT label AS key, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS x FROM cells GROUP BY label, i",
+        "text_vectors_similarity": f"WITH {_V}, means AS (SELECT a.ix, CASE WHEN b.vec IS NULL THEN a.vec ELSE [(a.vec[i] + b.vec[i]) / 2 FOR i IN range(1, len(a.vec) + 1)] END AS vec FROM v a LEFT JOIN v b ON b.ix = a.ix + 1)"
+        f" SELECT a.ix || ' ' || (a.ix + 1) AS a, (a.ix + 2) || ' ' || (a.ix + 3) AS b, CASE WHEN b.vec IS NULL THEN 0.0 ELSE round({_COS.format(a='a.vec', b='b.vec')}, 6) END AS similarity FROM means a LEFT JOIN means b ON b.ix = a.ix + 2",
         "vector_lookup": f"WITH {_V} SELECT CAST(a.ix + 3 AS VARCHAR) AS word, CASE WHEN b.vec IS NULL THEN 0.0 ELSE round(sqrt(list_sum([x * x FOR x IN b.vec])), 5) END AS norm FROM v a LEFT JOIN v b ON b.ix = a.ix + 3",
         "vector_known": f"WITH {_V} SELECT CAST(a.ix + 3 AS VARCHAR) AS word, b.ix IS NOT NULL AS known FROM v a LEFT JOIN v b ON b.ix = a.ix + 3",
         "parser_input": _expected([(1, 1, "کتاب‌ها", "کتاب", "N", "N", "_", 0, "_"), (1, 2, "می‌روم", "رفت#رو", "VERB", "VERB", "_", 0, "_")], ["sent_ix", "id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel"]),
@@ -345,6 +347,11 @@ def _sources() -> dict[str, str]:
         "source_treebank": _tagged([[("کتاب", "Ne"), ("رفت", "V")]]),
         "source_verb_valency": _expected([("خواند", "خوان", "", "درس", "", "فا")], ["past_light_verb", "present_light_verb", "prefix", "nonverbal_element", "preposition", "valency"]),
         "source_wikipedia": _expected([(0, "3", "http://u", "عنوان", "خط یک\n\nخط دو")], ["doc_ix", "id", "url", "title", "text"]),
+        "source_lexicon": _expected([("کتاب", 15, "N"), ("خانه", 3, "N")], ["word", "frequency", "pos_tags"], frequency="BIGINT"),
+        "source_verb_roots": _expected([(0, "", "هست"), (1, "رفت", "رو"), (4, "دید", "بین")], ["ix", "past", "present"]),
+        "source_stopwords": _expected([("در",), ("و",)], ["word"]),
+        "source_informal_words": _expected([("یه", "یکی"), ("واسه", "برای"), ("اینا", "این ها")], ["informal", "formal"]),
+        "source_informal_verbs": _expected([(0, "بود", "باش", "باش", True), (1, "توانست", "توان", "تون", False)], ["ix", "past", "present", "informal_present", "flag"]),
         "source_text_vectors": _vector_values([(0, "کتاب", [1.0, 0.0, 0.0]), (1, "دفتر", unit([0.9, 0.1, 0.0])), (3, "پنجره", [0.0, 0.0, 1.0])]),
         "source_binary_vectors": _vector_values([(i, w, unit(v)) for i, (w, v) in enumerate(samples.WORD_VECTORS)]),
         "subword_vectors": _expected([(w, i, x) for w, v in (("ایران", [0.78072, 0.39036, 0.48795]), ("ناشناس", [0.99589, 0.0, 0.09054])) for i, x in enumerate(v)], ["word", "i", "x"], x="DOUBLE"),

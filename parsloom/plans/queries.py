@@ -293,6 +293,13 @@ def vector_means(spark, sf_dir):
     return out.select("key", F.posexplode("embedding").alias("i", "x")).select("key", "i", F.round("x", 6).alias("x"))
 
 
+def text_vectors_similarity(spark, sf_dir):
+    """Texts of numbers, each number being the word of a vector: every text and the next one."""
+    v = _vectors(spark, sf_dir)
+    text = lambda k: F.concat_ws(" ", (F.col("ix") + k).cast("string"), (F.col("ix") + k + 1).cast("string"))
+    return embeddings.text_similarity(v.select(text(0).alias("a"), text(2).alias("b")), v).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 def vector_lookup(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     asked = v.select((F.col("ix") + 3).cast("string").alias("word"))
@@ -383,6 +390,11 @@ SOURCES: dict[str, Query] = {
     "source_treebank": _tagged(corpora.treebank, "treebank"),
     "source_verb_valency": _plain(corpora.verb_valency, "verb_valency"),
     "source_wikipedia": _plain(corpora.wikipedia, "wikipedia"),
+    "source_lexicon": lambda spark, sf_dir: dims.read_lexicon(spark, samples.put(spark, "lexicon")).select("word", "frequency", F.array_join("pos_tags", ",").alias("pos_tags")),
+    "source_verb_roots": lambda spark, sf_dir: dims.read_verb_roots(spark, samples.put(spark, "verb_roots")),
+    "source_stopwords": lambda spark, sf_dir: dims.sorted_words(dims.read_words(spark, samples.put(spark, "stopwords"))),
+    "source_informal_words": lambda spark, sf_dir: dims.read_informal_words(spark, samples.put(spark, "informal_words")),
+    "source_informal_verbs": lambda spark, sf_dir: dims.read_informal_verbs(spark, samples.put(spark, "informal_verbs")),
     "source_text_vectors": _vector_rows(source_vectors.read_text_vectors, "text_vectors"),
     "source_binary_vectors": _vector_rows(source_vectors.read_binary_vectors, "binary_vectors"),
 }
@@ -406,7 +418,7 @@ OPERATORS: list[Query] = [
     token_top, sentence_rows, token_counts, token_rows, stems, lexicon_counts, stopword_free, stopword_hits, sorted_stopwords, verb_parts_joined, masks, masked_documents, normalized_simple, normalized_full, normalize_cases,
     conjugations, verb_form_table, lemmas_of_tokens, lemma_cases, token_splits, informal_verbs, informal_cases, informal_documents, informal_lemmas, informal_stem_map,
     spell_probability, spell_edits, spell_candidates, spell_corrections, unigram_counts, bigram_counts, bigram_probability, unigram_probability, next_words, next_suggestions, sentence_perplexity, model_sizes,
-    vector_neighbours, vector_similarity, vector_odd_ones, vector_means, vector_lookup, vector_known, subword_vectors, pipeline_sentences, parser_input, streamed_counts,
+    vector_neighbours, vector_similarity, vector_odd_ones, vector_means, text_vectors_similarity, vector_lookup, vector_known, subword_vectors, pipeline_sentences, parser_input, streamed_counts,
 ]
 
 

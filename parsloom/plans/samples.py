@@ -66,6 +66,15 @@ FILES: dict[str, tuple[dict[str, str | bytes], str]] = {
 }
 
 
+FILES |= {
+    "lexicon": ({"words.dat": "کتاب\t12\tN,AJ\nبد\tx\tN\nخانه\t3\tN\nکم\t1\nکتاب\t15\tN\n"}, "words.dat"),
+    "verb_roots": ({"verbs.dat": "#هست\nرفت#رو\n\nبی\nدید#بین\n"}, "verbs.dat"),
+    "stopwords": ({"stop.dat": "و\n در \n\nو\n"}, "stop.dat"),
+    "informal_words": ({"iwords.dat": "یه یک\nواسه برای\nاینا این ها\nیه یکی\n"}, "iwords.dat"),
+    "informal_verbs": ({"iverbs.dat": "بود#باش باش 1\nتوانست#توان تون 0\n"}, "iverbs.dat"),
+}
+
+
 def word_vectors_binary(rows: list[tuple[str, list[float]]]) -> bytes:
     return f"{len(rows)} {len(rows[0][1])}\n".encode() + b"".join(w.encode() + b" " + np.array(v, dtype="<f4").tobytes() + b"\n" for w, v in rows)
 
