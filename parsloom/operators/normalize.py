@@ -65,6 +65,7 @@ def normalize_column(text: Column, options: NormalizerOptions = NormalizerOption
     return rules.fewer_repeats(text) if options.decrease_repeated_chars else text
 
 
+_SUFFIXES = frozenset(SUFFIXES)
 _REPEATED = re.compile(f"[{LETTERS}]*([{LETTERS}])\\1{{2,}}[{LETTERS}]*")
 _RUN = re.compile(f"([{LETTERS}])\\1{{2,}}")
 _MI = re.compile(f"(?<!\\w)(ن?می)(?=[{LETTERS}])([{LETTERS}]+)")
@@ -74,13 +75,15 @@ _WORD_SPLIT = re.compile(r'([؟!?]+|[\d.:]+|[:.،؛»\])}"«\[({/\\])')
 def space_tokens(tokens: list[str], frequent: frozenset[str], known: frozenset[str], verbs: frozenset[str]) -> list[str]:
     """Neighbours joined by a joiner where the pair is a verb form or a frequent word, or a suffix follows a known word."""
     out: list[str] = []
+    last = ""
     for t in tokens:
         if out:
-            pair = out[-1] + ZWNJ + t
-            if pair in verbs or pair in frequent or (t in SUFFIXES and out[-1] in known):
-                out[-1] = pair
+            pair = last + ZWNJ + t
+            if pair in verbs or pair in frequent or (t in _SUFFIXES and last in known):
+                out[-1] = last = pair
                 continue
         out.append(t)
+        last = t
     return out
 
 
@@ -104,12 +107,12 @@ def fewer_repeats(text: str, known: frozenset[str]) -> str:
         single, double = _RUN.sub(r"\1", w), _RUN.sub(r"\1\1", w)
         return single if single in known and double not in known else double
 
-    return _REPEATED.sub(one, text)
+    return _REPEATED.sub(one, text) if _RUN.search(text) else text
 
 
 def separate_mi(text: str, verbs: frozenset[str]) -> str:
     """A joiner after the verbal prefix where that gives a known form."""
-    return _MI.sub(lambda m: m[1] + ZWNJ + m[2] if m[1] + ZWNJ + m[2] in verbs else m[0], text)
+    return _MI.sub(lambda m: m[1] + ZWNJ + m[2] if m[1] + ZWNJ + m[2] in verbs else m[0], text) if "می" in text else text
 
 
 def _sets(lexicon: DataFrame | None, forms: DataFrame | None, limit: int) -> tuple[frozenset, frozenset, frozenset] | None:
@@ -139,7 +142,7 @@ def _candidates(text: str, longest: int) -> set[str]:
             for t in tokens[i + 1 : i + longest]:
                 joined += ZWNJ + t
                 out.add(joined)
-    for m in _REPEATED.finditer(text):
+    for m in _REPEATED.finditer(text) if _RUN.search(text) else ():
         out |= {m[0], _RUN.sub(r"\1", m[0]), _RUN.sub(r"\1\1", m[0])}
     for m in _MI.finditer(text):
         out.add(m[1] + ZWNJ + m[2])

@@ -12,7 +12,7 @@ from parsloom.functions import chars, rules, vectors
 from parsloom.functions import tokens as tk
 from parsloom.functions.stem import stem
 from parsloom.operators import dims, embeddings, informal, lemmas, ngrams, normalize, spell, verbs
-from parsloom.operators.tables import new_path, written
+from parsloom.operators.tables import new_path, over_all_cores, written
 from parsloom.plans import samples
 from parsloom.plans.pipeline import TextPipeline, parser_rows
 from parsloom.sources import corpora
@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return over_all_cores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _over_text(f: Callable[[Column], Column]) -> Query:
@@ -172,7 +172,7 @@ def informal_cases(spark, sf_dir):
 
 def informal_documents(spark, sf_dir):
     """Formal candidates of the words of miras_doc (informal in part), the words themselves being the lexicon from twenty occurrences on."""
-    text = _table(spark, sf_dir, "miras_doc")
+    text = over_all_cores(_table(spark, sf_dir, "miras_doc").select("text"))
     counts = written(dims.lexicon_from(text.select(F.explode(tk.words(F.col("text"))).alias("token"))))
     lexicon = counts.where("frequency >= 20")
     out = informal.formal_candidates(counts, informal.informal_verb_map(samples.informal_verbs(spark)), samples.informal_words(spark), lexicon)
