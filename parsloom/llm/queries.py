@@ -159,5 +159,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_units, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_consistent, p6_ids, p6_decoded, p7_found, p7_report, p8_found, p8_shared)}
 
 
+def _plain_words(text: str) -> str:
+    """The words of problem 7 in SQL: one case, no marks, ASCII digits, Persian yeh and kaf."""
+    digits = "".join(chr(o + i) for o in (0x6F0, 0x660, 0x966, 0xFF10) for i in range(10))
+    plain = f"translate({text}, '{digits}يىك', '{'0123456789' * 4}ییک')"
+    plain = f"translate(regexp_replace(nfc_normalize(regexp_replace({plain}, '\\p{{M}}', '', 'g')), '\\p{{M}}', '', 'g'), 'آأإؤئۀ', 'اااویه')"
+    return f"regexp_extract_all(lower(strip_accents({plain})), '[\\p{{L}}\\p{{Nd}}]+')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Problems 7 and 8 by brute force, for small tables: all windows of words, all spans of 300 characters. The others are no SQL."""
+    grams = lambda key, table: (
+        f"SELECT DISTINCT {key}, array_to_string(w[i:i + 12], ' ') AS gram FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {key}, {_plain_words('text')} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 13)"
+    )
+    spans_300 = "SELECT DISTINCT doc_id, md5(substr(text, i, 300)) AS span FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)"
+    return {
+        "p7_found": f"WITH d AS ({grams('doc_id', 'documents')}), q AS ({grams('item_id', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN q USING (gram)",
+        "p8_found": f"WITH s AS ({spans_300}), many AS (SELECT span FROM s GROUP BY span HAVING count(*) > 1), k AS (SELECT doc_id, span FROM s SEMI JOIN many USING (span)) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.span = b.span AND a.doc_id < b.doc_id",
+    }
