@@ -17,6 +17,8 @@ from parsloom.operators.dims import sized
 
 #: Queries that meet the vectors in one pass, as one matrix; more take more passes.
 QUERY_BLOCK = 20_000
+#: Similarities that a task holds at once (32 MB).
+CELLS = 4_000_000
 
 
 def dim(vectors: DataFrame) -> int:
@@ -69,9 +71,10 @@ def most_similar(queries: DataFrame, vectors: DataFrame, n: int, exclude_self: b
             top_s = np.full((len(ids), 0), -np.inf)
             top_i = np.zeros((len(ids), 0), dtype=np.int64)
             names: dict[int, object] = {}
+            step = max(1, CELLS // len(ids))
             for pdf in batches:
-                for lo in range(0, len(pdf), 2000):
-                    part = pdf.iloc[lo : lo + 2000]
+                for lo in range(0, len(pdf), step):
+                    part = pdf.iloc[lo : lo + step]
                     v = np.stack(part["vec"].to_numpy()).astype(np.float64)
                     lengths = np.linalg.norm(v, axis=1, keepdims=True)
                     v = np.divide(v, lengths, out=np.zeros_like(v), where=lengths > 0)
