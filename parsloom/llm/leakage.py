@@ -21,7 +21,7 @@ from parsloom.llm.common import written
 
 WINDOW, SHINGLE = 13, 3
 #: Words of items that are looked for in one pass over the documents; more items take more passes, in blocks.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 300_000
 
 
 class _Dress(dict):
