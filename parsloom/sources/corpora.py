@@ -21,6 +21,8 @@ ZWNJ = "‌"
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:
     """table's value for the key, the key itself where it has none."""
+    if not table:
+        return key
     return F.coalesce(F.create_map(*map(F.lit, chain.from_iterable(table.items())))[key], key)
 
 
