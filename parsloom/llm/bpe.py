@@ -133,8 +133,12 @@ class Transducer:
         if need:
             yield "\ufffd"
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.decode_stream(ids))
+    def decode(self, ids: list[int]) -> str:
+        """The text of all ids at once; where bytes are broken, character by character."""
+        try:
+            return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8")
+        except UnicodeDecodeError:
+            return "".join(self.decode_stream(ids))
 
 
 class Word:

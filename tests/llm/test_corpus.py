@@ -34,7 +34,7 @@ TEXTS = ["", "Hello world's  end \n\n x", "در آغاز سال می‌روم",
 @pytest.mark.parametrize("text", TEXTS)
 def test_ids_are_the_librarys(library, text):
     assert ids(text) == library(text)
-    assert T.decode(ids(text)) == text
+    assert T.decode(ids(text)) == text == "".join(T.decode_stream(ids(text)))
 
 
 @settings(max_examples=200, deadline=None)
@@ -43,7 +43,7 @@ def test_streams(text, size):
     text = text.encode("utf-8", "replace").decode()
     want = ids(text)
     assert list(T.encode_stream(text[i : i + size] for i in range(0, len(text), size))) == want
-    assert T.decode(want) == text
+    assert T.decode(want) == text == "".join(T.decode_stream(want))
 
 
 @settings(max_examples=30, deadline=None)
