@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import unicodedata as ud
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa

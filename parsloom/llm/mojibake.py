@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np

@@ -26,7 +26,6 @@ SCHEMA = "language string, words double, mean_word_length double, symbol_share d
 LEAST_SPREAD = {"words": 40.0, "mean_word_length": 0.5, "symbol_share": 0.02, "end_mark_share": 0.1, "common_word_share": 0.04, "prose_share": 0.06}
 TAIL = 3.5
 
-_TOKEN = re.compile(r"[^\s]+")
 _WORD = re.compile(r"[^\W\d_]+(?:[‌'’̀-ًͯ-ٟั-๎ऀ-ॏ-]*[^\W\d_]+)*")
 _SCRIPTS = [
     ("thai", re.compile("[฀-๿]")),
