@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parsloom.llm import bpe, canon, leakage, mojibake, quality, repeats, sentences, spans
 from parsloom.llm.common import deliveries_once, table, written
+from parsloom.operators.tables import over_all_cores
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -29,7 +30,7 @@ def _filled(column: str):
 def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = _common_words(spark, sf_dir)
     parts = [
-        table(spark, sf_dir, name).where(_filled("text")).select(F.lit(name).alias("source_table"), F.col(key).cast("string").alias("doc_key"), "text")
+        over_all_cores(table(spark, sf_dir, name).where(_filled("text")).select(F.lit(name).alias("source_table"), F.col(key).cast("string").alias("doc_key"), "text"))
         for name, key in (("miras_doc", "line_no"), ("wiki_doc", "id"))
     ]
     return quality.taken_once(_union(parts), common, ["source_table", "doc_key"])
