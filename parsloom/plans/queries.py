@@ -55,7 +55,7 @@ def sentence_rows(spark, sf_dir):
 
 
 def token_counts(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(tk.words(F.col("text"))).alias("n_tokens"))
+    return _docs(spark, sf_dir).select("doc_id", F.coalesce(F.size(tk.words(F.col("text"))), F.lit(0)).alias("n_tokens"))
 
 
 def token_rows(spark, sf_dir):
@@ -358,7 +358,7 @@ def _tagged(read: Callable[[SparkSession, str], DataFrame], name: str) -> Query:
 def _plain(read: Callable[[SparkSession, str], DataFrame], name: str, columns: list[str] | None = None) -> Query:
     def query(spark, sf_dir):
         df = read(spark, samples.put(spark, name)).drop("file")
-        return df.select(*columns) if columns else df
+        return df.selectExpr(*columns) if columns else df
 
     return query
 
@@ -374,7 +374,7 @@ SOURCES: dict[str, Query] = {
     "source_dadegan": _tagged(corpora.dadegan, "dadegan"),
     "source_universal_dadegan": _tagged(lambda s, p: corpora.universal_dadegan(s, p, "universal"), "universal_dadegan"),
     "source_degarbayan": _plain(corpora.degarbayan, "degarbayan"),
-    "source_faspell": _plain(lambda s, p: corpora.faspell_main(s, p).unionByName(corpora.faspell_ocr(s, p)), "faspell", ["misspelled", "corrected", "error_category"]),
+    "source_faspell": _plain(lambda s, p: corpora.faspell_main(s, p).unionByName(corpora.faspell_ocr(s, p)), "faspell", ["misspelled", "corrected", "cast(error_category as string) as error_category"]),
     "source_hamshahri": lambda spark, sf_dir: corpora.hamshahri(spark, samples.put(spark, "hamshahri")).select("id", "title", "text", "issue", "date", F.to_json("categories").alias("categories")),
     "source_mirastext": _plain(corpora.mirastext, "mirastext"),
     "source_mizan": _plain(corpora.mizan_pairs, "mizan"),
