@@ -281,6 +281,19 @@ def test_repeated_lines_against_brute_force(spark):
     assert cleaned["5"].startswith("متن 5\n") and "Common" not in cleaned["5"] and cleaned["y"] is None and cleaned["z"] == "" and cleaned["x"] == "Common line"
 
 
+def test_repeated_lines_need_no_significance(spark):
+    """A line that all sources repeat, a single source, and a share hardly above the others' are cases by their shares alone."""
+    rows = [("all", f"{s}{i}", s, "Same foot" if i < 12 else f"text {s} {i}") for s in "abc" for i in range(100)]
+    rows += [("single", f"s{i}", "only", "One foot" if i < 3 else f"text {i}") for i in range(30)]
+    rows += [("near", f"n{i}", "in", "Near foot" if i < 10 else f"text {i}") for i in range(200)] + [("near", f"o{i}", "out", "Near foot" if i < 9 else f"text o{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "t string, id string, source string, text string")
+    parts = [repeats.lines_of(df.where(F.col("t") == t), F.col("id"), F.col("source"), F.col("text"), t) for t in ("all", "single", "near")]
+    lines = repeats.written(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    got = {(r["source_table"], r["doc_key"]) for r in repeats.repeated_lines(lines).collect()}
+    assert got == {(t, k) for t, k, s, x in rows if x.endswith("foot") and s != "out"}
+    assert {r["source"]: r["significant"] for r in repeats.excess_lines(lines).where("source_table = 'near'").collect()} == {"in": False}
+
+
 def test_repeated_lines_of_nothing(spark):
     df = spark.createDataFrame([], "id string, network string, article string")
     lines = repeats.written(repeats.lines_of(df, F.col("id"), repeats.network(F.col("network")), F.col("article"), "t"))
