@@ -2,7 +2,8 @@
 
 Every document's statistics are taken in one pass. For each language a mergeable quantile sketch (KLL) of every
 statistic is built on the executors and merged; a document's values become robust z-scores against its language's
-median and quartiles, and the tails are flagged. The exact share of prose decides among the flagged ones.
+median and quartiles, and the tails are flagged. The exact share of prose alone decides what is no prose, whatever the
+records around it are like; scores and tails report how it differs.
 """
 
 from __future__ import annotations
@@ -236,8 +237,9 @@ def flag_tails(stats: DataFrame, tail: float = TAIL) -> DataFrame:
 
 
 def not_prose(stats: DataFrame, least_share: float = 0.5) -> DataFrame:
-    """The rows in some statistic's tail of whose text less than least_share belongs to running sentences."""
-    return flag_tails(stats).where((F.size("tails") > 0) & (F.col("prose_share") < least_share))
+    """The rows of whose text less than least_share belongs to running sentences, with their scores and tails: a table may be
+    mostly junk, whose records are in no tail of it."""
+    return flag_tails(stats).where(F.col("prose_share") < least_share)
 
 
 def taken_once(df: DataFrame, common_words: list[str], key: list[str], text: str = "text") -> DataFrame:

@@ -253,6 +253,12 @@ def test_tails_and_nulls(spark):
         quality.text_statistics(df, COMMON, into="ID")
 
 
+def test_no_prose_in_a_table_of_junk(spark):
+    rows = [(f"j{i}", TABLE) for i in range(30)] + [(f"p{i}", PROSE) for i in range(3)]
+    stats = quality.taken_once(spark.createDataFrame(rows, "id string, text string"), COMMON, ["id"])
+    assert {r["id"] for r in quality.not_prose(stats).collect()} == {f"j{i}" for i in range(30)}
+
+
 # 4: repeated lines
 
 
