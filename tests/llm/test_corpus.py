@@ -211,6 +211,15 @@ def test_chains_hold_every_match():
     assert found[0] == [(0, 0), (10, 12), (20, 22)] and {x for c in found for x in c} == set(m)
 
 
+def test_a_stretch_beside_a_chain_is_measured():
+    """(500, 500) and (500, 700) tie; the chain takes the latter, and the span of 300 lies on a diagonal of the chain."""
+    rng = random.Random(8)
+    head, x, tail = text(rng, 200), text(rng, 300), text(rng, 200)
+    s = head + "1" * 200 + x + "3" * 300 + tail
+    t = head + "2" * 200 + x + x[100:292] + "4" * 108 + tail
+    assert spans.passages(s, t, [(0, 0), (500, 500), (500, 700), (1000, 1000)])[1] == [(400, 400, 300)]
+
+
 def test_fuzzy_passages_bridge_gaps():
     rng = random.Random(6)
     a, b = text(rng, 400), text(rng, 400)
