@@ -42,6 +42,7 @@ _END = re.compile("[.!?؟。！？．｡۔।…][»”\"’'」』）)\\]\\s]*\
 _BULLET = re.compile(r"\s*(?:[•◦▪●‣*+–—-]\s+|(?:\(?\d{1,4}|[A-Za-zآ-ی])[.)\-]\s+)")
 _MARKUP = re.compile(r"https?://|www\.|<(?:/?[A-Za-z][^>]*>?)?|[{}>\[\]=|\\\t]|function\b|var\b|;(?=\S)|[،,](?=[^\s،,;]+[،,;]\S)|@(?=\S)")
 _CELLS = re.compile(r"\s[|/\-–—•◦·»›*+]\s+|[|\t•◦▪●‣]\s*|(?:(?<=\s)|^)\(?\d{1,3}[.)\-]\s+")
+_OTHER = re.compile(r"[\W\d_]+")
 _SYMBOL = re.compile(r"[^\w\s‌̀-ًͯ-ٟ]|_")
 #: Frequent words of further languages in Latin or Arabic script.
 FUNCTION_WORDS = set(
@@ -87,7 +88,19 @@ def _kinds() -> tuple[np.ndarray, np.ndarray]:
     return kinds, scripts
 
 
-def _is_prose(unit: str, kinds: bytes, common: frozenset[str], seen: dict[tuple, int]) -> bool:
+def _times_said(words: str, seen: dict[int, int]) -> int:
+    """How often the unit's words were said so far, each time in the unit counted; a phrase said over and over is one, however
+    often each unit says it and wherever it breaks off. Units that only open alike are different ones."""
+    times, half = 1, words[: (len(words) + 1) // 2]
+    p = words.find(half, 1)
+    if p > 0:
+        words, times = words[:p], (len(words) if words[p:] == words[:-p] else p + len(half)) // p
+    key = hash(words)
+    seen[key] = seen.get(key, 0) + times
+    return seen[key]
+
+
+def _is_prose(unit: str, kinds: bytes, common: frozenset[str], seen: dict[int, int]) -> bool:
     """Whether a unit runs on as a sentence: words in a row, some of them function words, nothing said over and over."""
     text = unit.strip()
     n = len(kinds) - kinds.count(_BLANK)
@@ -99,17 +112,13 @@ def _is_prose(unit: str, kinds: bytes, common: frozenset[str], seen: dict[tuple,
     if not n or letters < 0.72 * n:
         return False
     if dense > 0.5 * n:
-        key = (text[:60],)
-        seen[key] = seen.get(key, 0) + 1
-        return dense >= 8 and len(set(text)) >= min(12, 0.25 * dense) and seen[key] <= 3
+        return dense >= 8 and len(set(text)) >= min(12, 0.25 * dense) and _times_said(_OTHER.sub("", text), seen) <= 3
     words = _WORD.findall(text.lower())
     if len(words) < 3:
         return False
     if len(set(words)) < 0.5 * len(words) and len(words) > 5:
         return False
-    key = tuple(words[:12])
-    seen[key] = seen.get(key, 0) + 1
-    if seen[key] > 3:
+    if _times_said(" ".join(words) + " ", seen) > 3:
         return False
     marked = sum(1 for _ in _MARKUP.finditer(text))
     if marked and marked * 6 > len(words):
@@ -163,7 +172,7 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     solid = len(kind) - kind.count(_BLANK)
     prose, total, at = 0, 0, 0
-    seen: dict[tuple, int] = {}
+    seen: dict[int, int] = {}
     for end in unit_ends(text):
         for piece in _pieces(text[at:end]):
             n = len(piece.strip())

@@ -239,6 +239,16 @@ def test_no_prose(junk):
     assert share(junk) < 0.5
 
 
+def test_units_that_open_alike_are_not_one_phrase():
+    opening = "the report of the council of the town of Holvale says that in the year of"
+    assert share("\n".join(f"{opening} {x} the canal was sold to the miller." for x in ("plenty", "drought", "floods", "peace", "plague", "frost"))) == 1
+    assert share("\n".join(["下雪以前，研究小组测量了山谷的地图，又修复了东边的石桥" * 3 + x for x in ("一", "二", "三", "四", "五", "六")])) < 0.5
+    thai = "สภาเทศบาลเมืองประกาศรายงานประจำปีเกี่ยวกับสภาพถนนและสะพานในเขตเมืองเก่าว่า"
+    assert share("\n".join(thai + x for x in ("ถนนสายเหนือชำรุดมาก", "สะพานไม้ผุพังแล้ว", "คลองตื้นเขินลง", "ตลาดต้องย้ายไป", "โรงเรียนเปิดใหม่"))) == 1
+    for again in (["the old canal of the town was sold"] * 8, ["下雪以前，研究小组测量了山谷的地图" * n for n in (1, 2, 3, 2)]):
+        assert share("\n".join(again)) < 0.5
+
+
 def test_tails_and_nulls(spark):
     rows = [(str(i), PROSE) for i in range(40)] + [("t", TABLE), ("n", None), ("e", ""), ("b", " \n"), ("g", PROSE.encode().decode("latin-1")), ("t", TABLE), ("u", "http://a.example/1\n" * 5)]
     df = spark.createDataFrame(rows, "id string, text string")
