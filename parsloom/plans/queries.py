@@ -14,7 +14,7 @@ from parsloom.functions.stem import stem
 from parsloom.operators import dims, embeddings, informal, lemmas, ngrams, normalize, spell, verbs
 from parsloom.operators.tables import new_path, over_all_cores, written
 from parsloom.plans import samples
-from parsloom.plans.pipeline import TextPipeline, parser_rows
+from parsloom.plans.pipeline import TextPipeline, parser_rows, tag_sentences
 from parsloom.sources import corpora
 from parsloom.sources import text as source_text
 from parsloom.sources import vectors as source_vectors
@@ -184,6 +184,13 @@ def informal_lemmas(spark, sf_dir):
     return informal.lemmatize_informal(df, samples.lexicon(spark), verbs.verb_forms(samples.roots(spark)), samples.informal_words(spark), samples.informal_verbs(spark))
 
 
+def informal_lemmas_of_tokens(spark, sf_dir):
+    """Informal lemmas of the distinct words of miras_doc."""
+    text = over_all_cores(_table(spark, sf_dir, "miras_doc").select("text"))
+    counts = written(dims.lexicon_from(text.select(F.explode(tk.words(F.col("text"))).alias("token"))))
+    return informal.lemmatize_informal(counts.select("word"), samples.lexicon(spark), verbs.verb_forms(samples.roots(spark)), samples.informal_words(spark), samples.informal_verbs(spark))
+
+
 def informal_stem_map(spark, sf_dir):
     past, present = informal.stem_maps(samples.roots(spark), samples.informal_verbs(spark))
     return past.withColumn("tense", F.lit("past")).unionByName(present.withColumn("tense", F.lit("present")))
@@ -319,6 +326,14 @@ def subword_vectors(spark, sf_dir):
     return out.select("word", F.posexplode("vec").alias("i", "x")).select("word", "i", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
+def subword_vectors_of_tokens(spark, sf_dir):
+    """Subword vectors of the documents' distinct words."""
+    m = source_vectors.read_subword_model(spark, samples.put(spark, "subword_model"))
+    words = written(dims.lexicon_from(_tokens(spark, sf_dir))).select("word")
+    out = embeddings.embed_subwords(words, m.vectors, m.buckets, m.minn, m.maxn, m.bucket)
+    return out.select("word", F.posexplode("vec").alias("i", "x")).select("word", "i", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
 def pipeline_sentences(spark, sf_dir):
     """Documents normalized without a lexicon, cut into sentences and words."""
     out = TextPipeline().tokenize_sentences(_docs(spark, sf_dir))
@@ -330,6 +345,20 @@ def parser_input(spark, sf_dir):
     return parser_rows(tagged, samples.lexicon(spark), verbs.verb_forms(samples.roots(spark)))
 
 
+def _lexicon_tags(words: Column) -> Column:
+    """N for the words of the sample lexicon, VERB for past roots and what begins with the imperfect's prefix, X for others."""
+    nouns, pasts = [w for w, _ in samples.LEXICON], [a for a, _ in samples.VERBS]
+    return F.transform(words, lambda w: F.when(w.isin(nouns), "N").when(w.isin(pasts) | w.startswith("می" + samples.Z), "VERB").otherwise("X"))
+
+
+def parser_input_of_sentences(spark, sf_dir):
+    """The parser's rows of the documents' sentences, tagged by a lexicon."""
+    tagged = tag_sentences(TextPipeline().tokenize_sentences(_docs(spark, sf_dir)).select("doc_id", "sent_ix", "words"), _lexicon_tags)
+    rows = tagged.select("doc_id", "sent_ix", F.posexplode(F.arrays_zip("words", "tags")).alias("tok_ix", "_token"))
+    rows = rows.select("doc_id", "sent_ix", "tok_ix", F.col("_token.words").alias("token"), F.col("_token.tags").alias("tag"))
+    return parser_rows(rows, samples.lexicon(spark), verbs.verb_forms(samples.roots(spark)))
+
+
 def streamed_counts(spark, sf_dir):
     """Word counts of the documents as a stream, at its end."""
     from parsloom.streaming.counts import running_counts
@@ -416,9 +445,9 @@ TEXT: dict[str, Query] = {
 
 OPERATORS: list[Query] = [
     token_top, sentence_rows, token_counts, token_rows, stems, lexicon_counts, stopword_free, stopword_hits, sorted_stopwords, verb_parts_joined, masks, masked_documents, normalized_simple, normalized_full, normalize_cases,
-    conjugations, verb_form_table, lemmas_of_tokens, lemma_cases, token_splits, informal_verbs, informal_cases, informal_documents, informal_lemmas, informal_stem_map,
+    conjugations, verb_form_table, lemmas_of_tokens, lemma_cases, token_splits, informal_verbs, informal_cases, informal_documents, informal_lemmas, informal_lemmas_of_tokens, informal_stem_map,
     spell_probability, spell_edits, spell_candidates, spell_corrections, unigram_counts, bigram_counts, bigram_probability, unigram_probability, next_words, next_suggestions, sentence_perplexity, model_sizes,
-    vector_neighbours, vector_similarity, vector_odd_ones, vector_means, text_vectors_similarity, vector_lookup, vector_known, subword_vectors, pipeline_sentences, parser_input, streamed_counts,
+    vector_neighbours, vector_similarity, vector_odd_ones, vector_means, text_vectors_similarity, vector_lookup, vector_known, subword_vectors, subword_vectors_of_tokens, pipeline_sentences, parser_input, parser_input_of_sentences, streamed_counts,
 ]
 
 

@@ -7,7 +7,9 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from parsloom.functions import tokens as tk
 from parsloom.plans import oracles, queries
 
 ALL, SQL = queries.queries(), oracles.oracle_sql()
@@ -46,3 +48,16 @@ def test_query(spark, sf_dir, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert got == sorted(tuple(cell(r[i]) for i in at) for r in run.fetchall())
+
+
+def test_operators_run_over_the_tables(spark, sf_dir):
+    """Lemmas, subword vectors and the parser's rows come of whole tables, each word and token once."""
+    text = spark.read.parquet(f"{sf_dir}/miras_doc.parquet").select(F.explode(tk.words(F.col("text"))).alias("w"))
+    lemmas = ALL["informal_lemmas_of_tokens"](spark, sf_dir).collect()
+    assert sorted(r["word"] for r in lemmas) == sorted(r["w"] for r in text.distinct().collect())
+    rows = ALL["parser_input_of_sentences"](spark, sf_dir)
+    sizes = ALL["pipeline_sentences"](spark, sf_dir)
+    assert rows.count() == sizes.select(F.sum(F.size(F.split("words", " ")))).head()[0]
+    assert {r["upos"] for r in rows.select("upos").distinct().collect()} == {"N", "VERB", "X"}
+    vectors = ALL["subword_vectors_of_tokens"](spark, sf_dir)
+    assert vectors.select("word").distinct().count() > 100 and vectors.groupBy("word", "i").count().where("count > 1").isEmpty()
