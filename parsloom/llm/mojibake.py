@@ -1,9 +1,11 @@
 """Text decoded with the wrong character encoding (problem 3).
 
 A hidden Markov model labels the characters of a field: one clean state and one state for each encoding pair
-(what the bytes were, what they were read as). Each pair's emissions are learned from Persian text sent through
-the pair, the clean state's from the shape of ordinary words. Viterbi's path gives spans; each gets its state's
-inverse transform. Fields without any character that a pair could leave behind are clean without a search.
+(what the bytes were, what they were read as) and script of the text before. A state's emissions are learned from
+text of its script sent through its pair, the clean state's from the shape of ordinary words. Viterbi's path alone
+decides, whatever a field's length: a field may be damaged from its first character on, a stretch inside it has to
+pay for entering and leaving its state. Each labelled span gets its state's inverse transform. A stretch is left
+unlabelled only where the sum of all that any state could gain on it is below the cost of entering one.
 """
 
 from __future__ import annotations
@@ -38,25 +40,42 @@ PAIRS = [
     ("cp1256_as_cp437", (("cp1256", "cp437"),)),
     ("cp1256_as_koi8r", (("cp1256", "koi8-r"),)),
     ("iso6_as_latin1", (("iso8859-6", "latin-1"),)),
+    ("cp1251_as_cp1252", (("cp1251", "cp1252"),)),
+    ("koi8r_as_cp1252", (("koi8-r", "cp1252"),)),
     ("lost_as_question_marks", (("ascii", "ascii"),)),  # nothing is left to restore
 ]
+#: The scripts that were written: those of UTF-8 are all three, those of the other encodings the one they are made for.
+SCRIPTS = ("arabic", "latin", "cyrillic")
+
+
+def _written(steps: tuple) -> tuple[str, ...]:
+    to = steps[0][0]
+    return SCRIPTS if to == "utf-8" else ("cyrillic",) if to in ("cp1251", "koi8-r") else ("arabic",)
+
+
+#: (pair, script) of each state but the clean one, the last one being the lost letters.
+STATES = [(i, script) for script in SCRIPTS for i, (_, steps) in enumerate(PAIRS[:-1]) if script in _written(steps)] + [(len(PAIRS) - 1, "lost")]
 #: Persian letters and marks in the order of their frequency, as in any Persian text.
 LETTERS = "ایرندهمتوسبشزکگلفجخقپعصحغچطآذضژظئثء"
 #: Foreign words of other alphabets, as stand in Persian text.
 FOREIGN = ["Москва", "Россия", "Дунай", "Киев", "Волга", "Αθήνα", "Κρήτη", "Λαμία", "Σύρος", "Grün", "Malmö", "Ærø", "Orléans", "Besançon", "Ångström", "Œuvre", "Straße", "Skåne"]
+#: Letters of further scripts in the order of their frequency, and what stands among accented Latin ones.
+ACCENTED, CYRILLIC = "éèàüöäßñáóíçêôúåøæîûùœâëïãõ’“”–ÉÜÖÄÀ", "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэф"
 LOST = "�"
-#: A span is damage if its inverse holds this many Arabic-script letters, and this share of what isn't ASCII.
-LEAST_LETTERS, LEAST_SHARE = 6, 0.8
+#: What the inverse of a span holds that is no ASCII must be text by this share.
+LEAST_SHARE = 0.8
 #: Characters beside a trace that are labelled too, how many texts are labelled side by side, and how many characters at most (100 MB).
 MARGIN, SIDE_BY_SIDE, LONGEST = 40, 64, 300_000
-STAY = 14.0  # the cost of leaving or entering a pair's state, in nats
+#: The cost of leaving or entering a pair's state, of a field that begins in one, and what is added for question marks, which
+#: authors write too, in nats.
+STAY, FIELD, ASKED = 14.0, 6.0, 1.5
 
 
 def _read(text: str, steps: tuple, control: bool = False) -> str:
     """What text becomes when its bytes are read wrongly; what can't be written or read becomes a lost letter or a control character."""
     for to, as_ in steps:
-        raw = b"".join(_bytes(c, to) for c in text)
-        text = "".join(chr(b) if control and 0x80 <= b < 0xA0 else _char(b, as_) for b in raw)
+        read = {c: "".join(chr(b) if control and 0x80 <= b < 0xA0 else _char(b, as_) for b in _bytes(c, to)) for c in set(text)}
+        text = "".join(map(read.__getitem__, text))
     return text
 
 
@@ -114,7 +133,8 @@ def _sample() -> str:
     rng = np.random.default_rng(7)
     weights = 1.0 / (np.arange(len(LETTERS)) + 3.0)
     words = []
-    letters = rng.choice(list(LETTERS), size=34_000, p=weights / weights.sum())
+    letters = rng.choice(list(LETTERS), size=36_000, p=weights / weights.sum())
+    letters = letters[np.append(True, letters[1:] != letters[:-1])]  # doubled letters aren't written twice
     at = 0
     for n in rng.integers(1, 8, size=7_000):
         w = "".join(letters[at : at + n])
@@ -133,25 +153,41 @@ def _sample() -> str:
         elif u < 0.27:
             w = FOREIGN[int(rng.integers(0, len(FOREIGN)))]
         words.append(w)
-        if at > 33_900:
+        if at > len(letters) - 20:
             break
     return " ".join(words)
 
 
+def _other_sample(script: str) -> str:
+    """A text of 10,000 characters in Latin letters, a twentieth of them accented, or in Cyrillic ones."""
+    rng = np.random.default_rng(11)
+    letters = ACCENTED if script == "latin" else CYRILLIC
+    weights = 1.0 / (np.arange(len(letters)) + 3.0)
+    drawn = iter(rng.choice(list(letters), size=10_000, p=weights / weights.sum()).tolist())
+    words: list[str] = []
+    for n in rng.integers(1, 9, size=1_700).tolist():
+        w = "".join(next(drawn) if script == "cyrillic" or rng.random() < 0.25 else "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(0, 26))] for _ in range(n))
+        words.append(w.capitalize() if rng.random() < 0.15 else w)
+    return " ".join(words)
+
+
 class Model:
     """Emissions of every state given the character and the one before it, as tables over classes of characters."""
 
     def __init__(self) -> None:
-        text = _sample()
+        samples = {"arabic": _sample(), **{k: _other_sample(k) for k in SCRIPTS[1:]}}
         # bytes 0x80 to 0x9f come as the encoding has them, or as control characters
-        streams = [_read(text, steps) + (_read(text[:15_000], steps, True) if steps[-1][1].startswith("cp125") else "") for _, steps in PAIRS[:-1]]
+        streams = []
+        for i, script in STATES[:-1]:
+            steps, text = PAIRS[i][1], samples[script]
+            streams.append(_read(text, steps) + (_read(text[:15_000], steps, True) if steps[-1][1].startswith("cp125") else ""))
+        text = samples["arabic"]
         streams.append(re.sub(r"[^\x00-\x7f]", "?", text) + re.sub(r"[^\x00-\x7f]", LOST, text))
-        chars = sorted({c for s in streams for c in s if ord(c) >= 0x80} | {LOST})
+        chars = sorted({c for c in set().union(*streams) if ord(c) >= 0x80} | {LOST})
         self.alone = [c for c in chars if not ("؀" <= c <= "ۿ" or c in "«»،؛؟…–‌")]
         #: The characters that some pair leaves behind; without any of them nothing is damaged.
-        self.trace = re.compile("[" + "".join(map(re.escape, self.alone)) + "\x80-\x9f]|(?:^|\\s)\\?\\?+\\s+\\?\\?")
+        self.trace = re.compile("[" + "".join(map(re.escape, self.alone)) + "\x80-\x9f]|(?:^|\\s)\\?\\?+\\s+\\?\\?|^[^\\w?]*\\?\\?[^\\w]*$")
         self.odd = re.compile("[" + "".join(map(re.escape, self.alone)) + "\x80-\x9f?]")
-        self.lost = re.compile(r"\?\?+\s+\?\?")
         ids = {c: i for i, c in enumerate(chars)}
         self.n = n = len(chars) + 4  # + the question mark, ASCII letters, other ASCII, all else
         self.mark = n - 4
@@ -163,7 +199,7 @@ class Model:
         for c, i in ids.items():
             self.index[ord(c)] = i
         tables = [self._clean(chars)]
-        for s in streams:
+        for (_, script), s in zip(STATES, streams):
             k = self.index[np.frombuffer(s.encode("utf-16-le"), dtype=np.uint16)]
             uni = np.bincount(k, minlength=n).astype(float)
             uni[ids[LOST]] += 0.01 * len(k)
@@ -173,8 +209,13 @@ class Model:
             two = np.zeros((n, n))
             np.add.at(two, (k[:-1], k[1:]), 1.0)
             strength = 3.0
-            tables.append(np.log((two + strength * uni[None, :]) / (two.sum(1, keepdims=True) + strength)))
+            table = np.log((two + strength * uni[None, :]) / (two.sum(1, keepdims=True) + strength))
+            if script == "latin":  # its plain letters and blanks are those of clean text and say nothing
+                table[:, [n - 3, n - 2]] = tables[0][:, [n - 3, n - 2]]
+            tables.append(table)
         self.tables = np.ascontiguousarray(np.stack(tables, axis=-1).astype(np.float32))  # character before, character, state
+        #: What the best state gains on a character over the clean one, at most.
+        self.gain = np.maximum(self.tables[:, :, 1:].max(-1) - self.tables[:, :, 0], 0)
 
     def _clean(self, chars: list[str]) -> np.ndarray:
         """The clean state: ordinary words of one alphabet, small letters after small ones, few symbols."""
@@ -193,18 +234,22 @@ class Model:
                 kinds.append("control")
             else:
                 kinds.append("symbol")
-        kinds += ["ascii", "latin", "ascii", "else"]
-        first = {"arabic": 1 / 60, "Latin": 1 / 900, "latin": 1 / 1500, "Greek": 1 / 600, "greek": 1 / 3000, "Cyr": 1 / 600, "cyr": 1 / 3000, "control": 1e-6, "symbol": 1 / 5000, "ascii": 0.2, "else": 1 / 60}
+        kinds += ["ascii", "plain", "ascii", "else"]
+        first = {"arabic": 1 / 60, "Latin": 1 / 900, "latin": 1 / 1500, "Greek": 1 / 600, "greek": 1 / 3000, "Cyr": 1 / 600, "cyr": 1 / 9000, "control": 1e-6, "symbol": 1 / 5000, "ascii": 0.2, "plain": 0.2, "else": 1 / 60}
         after = {
-            ("Latin", "latin"): 1 / 60, ("latin", "latin"): 1 / 60, ("Latin", "Latin"): 1 / 2000, ("latin", "Latin"): 1e-5,
+            ("plain", "latin"): 1 / 60, ("Latin", "latin"): 1 / 1500, ("latin", "latin"): 1 / 1500, ("Latin", "Latin"): 1 / 3000, ("latin", "Latin"): 1e-5, ("plain", "Latin"): 1e-5,
             ("Greek", "greek"): 1 / 28, ("greek", "greek"): 1 / 28, ("Greek", "Greek"): 1 / 2000, ("greek", "Greek"): 1e-5,
-            ("Cyr", "cyr"): 1 / 33, ("cyr", "cyr"): 1 / 33, ("Cyr", "Cyr"): 1 / 2000, ("cyr", "Cyr"): 1e-5,
+            ("Cyr", "cyr"): 1 / 33, ("cyr", "cyr"): 1 / 33, ("Cyr", "Cyr"): 1 / 1000, ("cyr", "Cyr"): 1e-5,
             ("arabic", "Latin"): 1e-5, ("arabic", "latin"): 1e-5, ("arabic", "symbol"): 1 / 20000, ("arabic", "arabic"): 1 / 40,
         }
         out = np.empty((self.n, self.n))
         for i, a in enumerate(kinds):
             for j, b in enumerate(kinds):
                 out[i, j] = after.get((a, b), first[b])
+        share = 1.0 / (np.arange(len(CYRILLIC)) + 3.0)
+        for c, p in zip(CYRILLIC, (share / share.sum()).tolist()):
+            if c in chars:
+                out[:, chars.index(c)] *= 33 * p
         ascii_letters = self.n - 3
         out[:, ascii_letters] = 0.2
         out[:, self.mark] = 1 / 200
@@ -214,13 +259,9 @@ class Model:
     def windows(self, text: str) -> list[tuple[int, int]]:
         """The stretches around characters that a pair may have left; elsewhere every path is clean.
 
-        Words of one alphabet with small letters after their first, as names have, are ordinary: a few of them, and little
-        beside them, are cheaper to explain as clean than the entering and leaving of any pair's state."""
+        A stretch on which no path can gain what the entering of a state costs is left out: the clean path is its best."""
         if not self.trace.search(text):
             return []
-        rest = _ORDINARY.sub("", text)
-        if len(self.odd.findall(rest)) <= 3 and not self.lost.search(rest):
-            return []
         out: list[list[int]] = []
         for m in self.odd.finditer(text):
             i = m.start()
@@ -230,17 +271,29 @@ class Model:
                 out.append([i, i + 1])
         found = []
         for a, b in out:
-            if b - a > 3:
-                a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
-                while b - a > LONGEST:  # cut at a blank, which no pair tears apart
-                    cut = text.rfind(" ", a + LONGEST // 2, a + LONGEST) + 1 or a + LONGEST
-                    found.append((a, cut))
-                    a = cut
-                found.append((a, b))
+            a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
+            before, k = self.codes(text[a:b])
+            if self.gain[before, k].sum() <= (STAY if a else FIELD):
+                continue
+            while b - a > LONGEST:  # cut at a blank, which no pair tears apart
+                cut = text.rfind(" ", a + LONGEST // 2, a + LONGEST) + 1 or a + LONGEST
+                found.append((a, cut))
+                a = cut
+            found.append((a, b))
         return found
 
-    def labels(self, texts: list[str]) -> list[np.ndarray]:
-        """The state of each character on the most likely path (Viterbi; leaving a state costs the same for all), side by side for texts of like length."""
+    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The classes of the characters before and of the characters of a text."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        k = self.index[np.minimum(codes, 0xFFFF)]
+        before = np.empty_like(k)
+        before[:1], before[1:] = self.n - 2, k[:-1]
+        return before, k
+
+    def labels(self, texts: list[str], begin: list[bool]) -> list[np.ndarray]:
+        """The state of each character on the most likely path (Viterbi; leaving a state costs the same for all), side by side for texts of like length.
+
+        begin tells which texts are the beginning of a field, not a stretch inside it."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(texts)
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
         at = 0
@@ -252,15 +305,13 @@ class Model:
             longest, rows = len(texts[group[-1]]), len(group)
             scores = np.zeros((longest, rows, self.tables.shape[2]), dtype=np.float32)  # padding says nothing
             for r, i in enumerate(group):
-                codes = np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                k = self.index[np.minimum(codes, 0xFFFF)]
-                before = np.empty_like(k)
-                before[0], before[1:] = self.n - 2, k[:-1]
+                before, k = self.codes(texts[i])
                 scores[: len(k), r] = self.tables[before, k]
             own = np.arange(scores.shape[2], dtype=np.int8)[None, :]
             each = np.arange(rows)
             best = scores[0].copy()
-            best[:, 1:] -= STAY
+            best[:, 1:] -= np.array([FIELD if begin[i] else STAY for i in group], dtype=np.float32)[:, None]
+            best[:, -1] -= ASKED
             came = np.empty(scores.shape, dtype=np.int8)
             for t in range(1, longest):
                 top = best.argmax(1)
@@ -285,31 +336,39 @@ def model() -> Model:
     return Model()
 
 
-_ORDINARY = re.compile("(?<![Ѐ-ӿ])[Ѐ-Я]?[а-џ]{2,}(?![Ѐ-ӿ�])|(?<![Ͱ-Ͽ])[Α-ΩΆ-Ώ]?[ά-ώ]{2,}(?![Ͱ-Ͽ�])|(?<![A-Za-zÀ-ɏ])[A-ZÀ-ÖØ-ÞŒŠŽ]?[a-zß-öø-ÿœšž]*[a-z][a-zß-öø-ÿœšž]*(?![A-Za-zÀ-ɏ�])")
-_PERSIAN = re.compile("[ء-غف-يپچژکگیٱ-ۓ]")
+_LETTERS = {"arabic": re.compile("[ء-غف-يپچژکگیٱ-ۓ]"), "latin": re.compile("[À-ÖØ-öø-ɏ’“”–‘€«»°]"), "cyrillic": re.compile("[Ѐ-ԯ]")}
 _ODD = re.compile("[^\x00-\x7f]")
 _MARKS = re.compile(r"(?:(?<=\s)|(?<=^))[«(]?[?�]+[.:!»)]*(?=\s|$)")
-_FINE = re.compile("[؀-ۿ‌«»…–—²°‍‎‏﻿À-ɏͰ-ӿ�]")
+_FINE = re.compile("[؀-ۿ‌«»…–—²°‍‎‏﻿À-ɏͰ-ԯ’“”‘€�]")
 
 
 def _judged(text: str, offset: int, lab: np.ndarray) -> list[tuple[int, int, str, str]]:
     """The labelled stretches of a window whose inverse transform gives text."""
     cuts = np.flatnonzero(np.diff(lab)) + 1
-    out = []
+    runs: list[list[int]] = []  # start, end, pair; states of one pair side by side are one stretch
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lab)]):
         s = int(lab[a])
-        if not s:
-            continue
-        name, steps = PAIRS[s - 1]
         a, b = a + offset, b + offset
+        pair = STATES[s - 1][0] if s else -1
+        if s and 2 * text.count("?", a, b) > sum(not c.isspace() for c in text[a:b]):
+            pair = len(PAIRS) - 1  # letters lost on the way into an encoding
+        if runs and runs[-1][2] == pair:
+            runs[-1][1] = b
+        else:
+            runs.append([a, b, pair])
+    out = []
+    for a, b, pair in runs:
+        if pair < 0:
+            continue
+        name, steps = PAIRS[pair]
         span = text[a:b]
-        if s == len(PAIRS):
-            if len(_MARKS.findall(span)) >= 2 and span.count("?") + span.count(LOST) >= LEAST_LETTERS:
+        if pair == len(PAIRS) - 1:
+            if len(_MARKS.findall(span)) >= 2 or span.strip() == text.strip():
                 out.append((a, b, name, span))
             continue
         plain = inverse(span, steps)
-        letters, odd = len(_PERSIAN.findall(plain)), _ODD.findall(plain)
-        if letters >= LEAST_LETTERS and len(_FINE.findall("".join(odd))) >= LEAST_SHARE * len(odd) and letters >= 0.6 * len(odd):
+        letters, odd = sum(len(_LETTERS[x].findall(plain)) for x in _written(steps)), _ODD.findall(plain)
+        if letters and plain != span and len(_FINE.findall("".join(odd))) >= LEAST_SHARE * len(odd) and letters >= 0.6 * len(odd):
             out.append((a, b, name, plain))
     return out
 
@@ -324,7 +383,7 @@ def all_spans(texts: list[str | None]) -> list[list[tuple[int, int, str, str]]]:
             for a, b in m.windows(t):
                 places.append((i, a))
                 pieces.append(t[a:b])
-    for (i, a), lab in zip(places, m.labels(pieces)):
+    for (i, a), lab in zip(places, m.labels(pieces, [a == 0 for _, a in places])):
         out[i] += _judged(texts[i], a, lab)
     return out
 

@@ -120,6 +120,34 @@ def test_what_the_author_wrote_is_no_damage(fine):
     assert not mojibake.damaged(fine) and mojibake.restored(fine) == fine
 
 
+WORDS = "ایران تهران قم یزد شیراز ساری تبریز گرگان کرمان اهواز رشت زنجان کاشان بابل باغ رود دشت کتاب خانه شهر روستا سفر نامه آب درخت ماه دانش مردم گزارش زبان تاریخ".split()
+#: Titles as authors write them: one or two words in other alphabets, accents, signs and question marks.
+DECOYS = "Москва Россия США НАТО МГУ СССР Αθήνα ΑΘΗΝΑ Grün Malmö Ærø Orléans Ångström Œuvre Straße Skåne Ñandú Übung É à Öl Ås Été Île São Łódź Çeşme Über déjà créée Dvořák naïve Київ Ōsaka km² °C © ® ™ 100€ x² – … ÇA ÊTRE ÉTÉ Ø ??? ?? ? چرا??".split()
+
+
+@pytest.mark.parametrize("pair", mojibake.PAIRS[:19], ids=lambda p: p[0])
+def test_short_titles(pair):
+    """A title of two to six letters is damage by its likelihood alone."""
+    found = mojibake.all_spans([mojibake._read(w, pair[1]) for w in WORDS])
+    assert sum(map(bool, found)) >= (0.8 if pair[0] == "cp1256_as_koi8r" else 0.9) * len(WORDS)  # its words are small Cyrillic letters throughout
+    if pair[1][0][0] == "utf-8":
+        assert [mojibake.put_back(mojibake._read(w, pair[1]), f) for w, f in zip(WORDS, found)] == WORDS
+
+
+def test_short_titles_that_are_fine():
+    assert [d for d, f in zip(DECOYS, mojibake.all_spans(DECOYS)) if f] == []
+
+
+@pytest.mark.parametrize("plain", ["Café", "Müller", "Übung", "don’t", "naïve text with café and crème brûlée", "Москва", "Петроград и Волга", "Œuvre – déjà vu"])
+def test_other_scripts_come_back(plain):
+    for pair in mojibake.PAIRS[:2]:
+        bad = mojibake._read(plain, pair[1])
+        assert mojibake.damaged(bad) and mojibake.restored(bad) == plain
+    assert not mojibake.damaged(plain)
+    if plain.isalpha() and plain > "Ѐ":
+        assert mojibake.restored(plain.encode("cp1251").decode("cp1252")) == plain
+
+
 def test_texts_side_by_side_are_labelled_as_alone():
     bad = SENTENCE.encode().decode("latin-1")
     texts = [None, bad, SENTENCE, "", bad * 7 + SENTENCE, SENTENCE * 3 + bad]
