@@ -210,6 +210,63 @@ def test_units(expected):
     assert units(" ".join(expected)) == expected
 
 
+def by_mark_alone(line):
+    """What a threshold on each place's own evidence gives."""
+    of = sentences._Line(line)
+    return [e for e, x, y in zip(of.at[1:], of.ends[1:], of.opens[1:]) if x + y > 0 or e == len(line)]
+
+
+@pytest.mark.parametrize(
+    "expected",
+    [
+        ["1. The canal was dug.", "2. The bridge was sold.", "3. Nobody came."],  # a number is no sentence of its own
+        ["«چه شد؟»", "«همه رفتند.»"],  # a quotation that is answered by another one
+        ["او پرسید: «چه شد؟»", "سپس رفت."],  # reported speech closes what the colon opened
+    ],
+)
+def test_whole_spans_decide(expected):
+    line = " ".join(expected)
+    assert units(line) == expected
+    assert by_mark_alone(line) != sentences.unit_ends(line)
+
+
+def best_by_all_sequences(of):
+    """The best sequence of spans by trying every predecessor of every place."""
+    n, slope = len(of.at), -sentences.WEIGHTS["long"]
+    best = [0.0] + [None] * (n - 1)
+    for j in range(1, n):
+        got = []
+        for i in range(j):
+            size = of.at[j] - of.at[i]
+            got.append(best[i] + of.opens[i] + (of.span(i, j) if size <= sentences.LONG else -slope * (size - sentences.LONG)))
+        best[j] = max(got) + of.ends[j]
+    return best[-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a ", "b. ", "Dr. ", "«", "»", "! ", "? ", "(", ")", "1. ", "... ", "کتاب ", ": ", "x" * 90 + " "]), min_size=1, max_size=40))
+def test_the_best_sequence_is_found(parts):
+    line = "".join(parts).strip()
+    if line:
+        of = sentences._Line(line)
+        ends = of.sentences()
+        places, total = [0] + [of.at.index(e) if e != len(line) else len(of.at) - 1 for e in ends], 0.0
+        if len(of.at) > 2:
+            for i, j in zip(places, places[1:]):
+                size = of.at[j] - of.at[i]
+                total += of.opens[i] + of.ends[j] + (of.span(i, j) if size <= sentences.LONG else sentences.WEIGHTS["long"] * (size - sentences.LONG))
+            assert abs(total - best_by_all_sequences(of)) < 1e-6
+
+
+@pytest.mark.parametrize("piece", ["! a ", "a. ", "«!» ", "Dr. x ", "رفت. "])
+def test_many_marks_in_a_line_take_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    assert sentences.unit_ends(piece * 20_000)
+    assert time.process_time() - began < 5
+
+
 def test_units_without_blanks_between():
     assert units("سد ساخته شد.باغ خریده شد.") == ["سد ساخته شد.", "باغ خریده شد."]
     assert units("下雪了。市长走了！") == ["下雪了。", "市长走了！"]
