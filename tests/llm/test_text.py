@@ -307,31 +307,55 @@ def test_unit_rows(spark):
 # 1: statistics
 
 
-def share(text):
-    return quality.describe(text, quality._common(tuple(COMMON)))[-1]
+#: What the languages' sentences are like.
+BACKGROUND = [PROSE, "The mayor of the town was in the archive and said that it was old. The canal of the valley is by the mill.", "下雪了，研究小组测量了山谷的地图。", "Das Tor ist alt und die Brücke ist neu. Der Bürger geht mit dem Hund auf den Berg."] * 10
 
 
-@pytest.mark.parametrize("prose", [PROSE, PROSE.replace(".", ""), "The mayor of Holvale measured the painted archive and sold the old canal.", "下雪以前，研究小组测量了山谷的地图，又修复了东边的石桥。", "عنوان\n" + PROSE])
-def test_prose(prose):
-    assert share(prose) > 0.5
+def shares(spark, texts, tail=quality.TAIL):
+    rows = [(f"b{i}", t) for i, t in enumerate(BACKGROUND)] + [(f"t{i}", t) for i, t in enumerate(texts)]
+    stats = quality.text_statistics(spark.createDataFrame(rows, "id string, text string"), COMMON).select("id", "stats.*").where("language is not null")
+    got = {r["id"]: r["prose_share"] for r in quality.prose_shares(quality.written(stats), tail).collect()}
+    assert all(got[f"b{i}"] == 1 for i in range(len(BACKGROUND)))
+    return [got[f"t{i}"] for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(
-    "junk",
-    [TABLE, "– سد بزرگ\n– باغ کوچک\n– قنات آبی", "http://a.example/1\nhttps://b.example/2", "سد بزرگ " * 40, "]]##%%&&**((", "uwwo iuq rywu qprpe eiu iqq qrrtu.", "var a = document['b']; <div class=\"x\">", "۹۶۲ ۱۳۳ ۸۹۱ ۵۸.۲", "خانه - اخبار - ورزش - تماس - گالری - پیوندها", PROSE[:54] + "\n" + TABLE * 3],
-)
-def test_no_prose(junk):
-    assert share(junk) < 0.5
+def test_prose(spark):
+    prose = [PROSE, PROSE.replace(".", ""), "The mayor of Holvale measured the painted archive and sold the old canal.", "下雪以前，研究小组测量了山谷的地图，又修复了东边的石桥。", "عنوان\n" + PROSE, "Русская экспедиция измерила старый мост через реку. Город построил новую библиотеку."]
+    assert min(shares(spark, prose)) > 0.5
+
+
+JUNK = [TABLE, "– سد بزرگ\n– باغ کوچک\n– قنات آبی", "http://a.example/1\nhttps://b.example/2", "سد بزرگ " * 40, "]]##%%&&**((", "var a = document['b']; <div class=\"x\">", "۹۶۲ ۱۳۳ ۸۹۱ ۵۸.۲", "خانه - اخبار - ورزش - تماس - گالری - پیوندها", PROSE[:54] + "\n" + TABLE * 3]
+LETTERS = ["uwwo iuq rywu qprpe eiu iqq qrrtu.", "شسبتن غعقث ضصیب لاتم کگثق فغعه خحجچ."]
+
 
+def test_no_prose(spark):
+    assert max(shares(spark, JUNK + LETTERS)) < 0.5
 
-def test_units_that_open_alike_are_not_one_phrase():
+
+def test_tails_decide(spark):
+    """Meaningless letters with an end mark run on like words: only the tails of their language's sentences tell them."""
+    assert max(shares(spark, LETTERS)) == 0 and min(shares(spark, LETTERS, tail=1e9)) == 1
+
+
+def test_units_that_open_alike_are_not_one_phrase(spark):
     opening = "the report of the council of the town of Holvale says that in the year of"
-    assert share("\n".join(f"{opening} {x} the canal was sold to the miller." for x in ("plenty", "drought", "floods", "peace", "plague", "frost"))) == 1
-    assert share("\n".join(["下雪以前，研究小组测量了山谷的地图，又修复了东边的石桥" * 3 + x for x in ("一", "二", "三", "四", "五", "六")])) < 0.5
     thai = "สภาเทศบาลเมืองประกาศรายงานประจำปีเกี่ยวกับสภาพถนนและสะพานในเขตเมืองเก่าว่า"
-    assert share("\n".join(thai + x for x in ("ถนนสายเหนือชำรุดมาก", "สะพานไม้ผุพังแล้ว", "คลองตื้นเขินลง", "ตลาดต้องย้ายไป", "โรงเรียนเปิดใหม่"))) == 1
-    for again in (["the old canal of the town was sold"] * 8, ["下雪以前，研究小组测量了山谷的地图" * n for n in (1, 2, 3, 2)]):
-        assert share("\n".join(again)) < 0.5
+    one, two, three, four, five = shares(
+        spark,
+        [
+            "\n".join(f"{opening} {x} the canal was sold to the miller." for x in ("plenty", "drought", "floods", "peace", "plague", "frost")),
+            "\n".join(thai + x for x in ("ถนนสายเหนือชำรุดมาก", "สะพานไม้ผุพังแล้ว", "คลองตื้นเขินลง", "ตลาดต้องย้ายไป", "โรงเรียนเปิดใหม่")),
+            "\n".join(["下雪以前，研究小组测量了山谷的地图，又修复了东边的石桥" * 3 + x for x in ("一", "二", "三", "四", "五", "六")]),
+            "\n".join(["the old canal of the town was sold"] * 8),
+            "\n".join("下雪以前，研究小组测量了山谷的地图" * n for n in (1, 2, 3, 2)),
+        ],
+    )
+    assert one == two == 1 and max(three, four, five) < 0.5
+
+
+def test_languages():
+    words = lambda t: quality._WORD.findall(t.lower())
+    assert [quality._language(s, words(t)) for s, t in (("arabic", PROSE), ("arabic", "هذا كتاب في المدينة"), ("latin", "das ist ein Haus"), ("latin", "the house is old"), ("latin", "qwrt zxcv"), ("thai", ""))] == ["persian", "arabic", "german", "english", "unknown", "thai"]
 
 
 def test_tails_and_nulls(spark):
@@ -343,7 +367,7 @@ def test_tails_and_nulls(spark):
     assert flagged.where("id = '3'").head()["tails"] == [] and "prose_share" in flagged.where("id = 't'").head()["tails"]
     assert {r["id"] for r in quality.not_prose(stats).collect()} == {"t", "u"}
     empty = quality.taken_once(df.limit(0), COMMON, ["id"])
-    assert quality.not_prose(empty).count() == 0
+    assert quality.not_prose(empty).count() == 0 == quality.flag_tails(empty).count()
     with pytest.raises(ValueError):
         quality.text_statistics(df, COMMON, into="ID")
 
