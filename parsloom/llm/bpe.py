@@ -1,19 +1,26 @@
 """A public byte-level BPE tokenizer as a streaming transducer (problem 6).
 
-Text is cut into pre-tokens; the last one of a chunk is held back until the next chunk shows where it ends. Inside a
-pre-token the encoding of every prefix ends in exactly one token, and a token may follow another only if the two,
-written together, are encoded as just these two. So the last tokens of all prefixes are found from left to right. A
-token that still can change begins at most one longest token before the end: the longest token is the merge list's
-sufficient lookahead, and what all those prefixes have in common is stable and emitted. Memory is bounded by the
-lookahead, however long the text is. Short pre-tokens are kept in a bounded memory of their encodings.
+Text comes in chunks and is cut into pre-tokens. What a pre-token is depends on its own characters, on the one behind it
+and, for the contractions, on the three from its beginning on; so a pre-token is stable once all these have been seen, and
+the few that aren't are held back. A run that outgrows what is held is handed on while it is still going on.
+
+Inside a pre-token the encoding of every prefix ends in exactly one token, and a token may follow another only if the two,
+written together, are encoded as just these two. So the last tokens of all prefixes are found from left to right. A token
+that still can change begins at most one longest token before the end: the longest token is the merge list's sufficient
+lookahead, and what all those prefixes have in common is stable and emitted. Memory is bounded by the lookahead and the
+chunk, however long the text or a pre-token is. Every pre-token takes this way; encodings of short ones are remembered, in
+a bounded memory. Decoding feeds the tokens' bytes to an incremental decoder, which holds back an unfinished character.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import importlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -22,8 +29,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens of at most so many bytes are remembered, and so many of them.
-SHORT, REMEMBERED = 200, 400_000
+#: Pre-tokens of at most so many characters are remembered, and so many of them.
+SHORT, REMEMBERED = 64, 400_000
+#: Characters that are fed at once, and those of an unfinished pre-token from which on it is handed on.
+CHUNK, HELD = 65_536, 256
+#: Ids that are decoded at once.
+IDS = 4_096
+#: Characters from a pre-token's beginning on that the pattern looks at beside its run: those of the contractions 're, 've, 'll.
+CONTRACTION = 3
+#: The runs of characters the pattern's pre-tokens are made of, apart from contractions and a leading blank.
+RUNS = r"\p{L}+|\p{N}+|\s+|[^\s\p{L}\p{N}]+"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -38,6 +53,7 @@ class Transducer:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
+        self.runs = regex.compile(RUNS)
         #: How far behind the end of the input a token may begin that later input can still change, in bytes.
         self.lookahead = max(map(len, self.ranks))
         self.follows: dict[tuple[bytes, bytes], bool] = {}
@@ -79,66 +95,101 @@ class Transducer:
 
     def word(self, text: str) -> bytes:
         """The ids of one pre-token, four bytes each."""
-        raw = text.encode("utf-8", "replace")
-        if len(raw) <= SHORT:
-            return np.array([self.ranks[t] for t in self.merge(raw)], dtype=np.int32).tobytes()
         state = Word(self)
-        ids = list(state.feed(raw))
-        return np.array(ids + list(state.finish()), dtype=np.int32).tobytes()
+        return array("i", [*state.feed(text.encode("utf-8", "replace")), *state.finish()]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text, four bytes each; nothing for an empty and for a null text."""
         if not text:
             return b""
-        if len(self.memo) > REMEMBERED:
-            self.memo.clear()
-        return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
+        state = Encoder(self)
+        return b"".join([*(state.feed(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)), state.finish()])
 
     def encode_stream(self, chunks: Iterable[str]) -> Iterator[int]:
-        """The ids of a text that comes in chunks: every pre-token but the last is stable, as only what follows the last can change it."""
-        held = ""
+        """The ids of a text that comes in chunks, each as soon as it is stable."""
+        state = Encoder(self)
         for chunk in chunks:
-            held += chunk
-            words = self.pattern.findall(held)
-            for w in words[:-1]:
-                yield from np.frombuffer(self.memo[w], dtype=np.int32).tolist()
-            held = words[-1] if words else held
-        for w in self.pattern.findall(held):
-            yield from np.frombuffer(self.memo[w], dtype=np.int32).tolist()
+            yield from array("i", state.feed(chunk))
+        yield from array("i", state.finish())
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """The text of ids, each character as soon as its bytes are complete; bytes of no character become a replacement character."""
-        need, got, low, high = 0, b"", 0x80, 0xBF
-        for i in ids:
-            out = []
-            for b in self.tokens[i]:
-                if need and low <= b <= high:
-                    got, need, low, high = got + bytes([b]), need - 1, 0x80, 0xBF
-                    if not need:
-                        out.append(got.decode("utf-8"))
-                        got = b""
-                    continue
-                if need:
-                    out.append("\ufffd")
-                    got, need, low, high = b"", 0, 0x80, 0xBF
-                if b < 0x80:
-                    out.append(chr(b))
-                elif 0xC2 <= b <= 0xF4:
-                    need, got = (1 if b < 0xE0 else 2 if b < 0xF0 else 3), bytes([b])
-                    low, high = {0xE0: 0xA0, 0xF0: 0x90}.get(b, 0x80), {0xED: 0x9F, 0xF4: 0x8F}.get(b, 0xBF)
-                else:
-                    out.append("\ufffd")
-            if out:
-                yield "".join(out)
-        if need:
-            yield "\ufffd"
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of all ids at once; where bytes are broken, character by character."""
-        try:
-            return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8")
-        except UnicodeDecodeError:
-            return "".join(self.decode_stream(ids))
+        state, ids = codecs.getincrementaldecoder("utf-8")("replace"), iter(ids)
+        while some := list(islice(ids, IDS)):
+            yield state.decode(b"".join(map(self.tokens.__getitem__, some)))
+        yield state.decode(b"", True)
+
+    def decode(self, ids: Iterable[int]) -> str:
+        return "".join(self.decode_stream(ids))
+
+
+class Encoder:
+    """One text on its way through the transducer: what is held back, and the pre-token that is going on."""
+
+    def __init__(self, of: Transducer) -> None:
+        self.of, self.held, self.going, self.run = of, "", None, ""
+
+    def feed(self, chunk: str) -> bytes:
+        """Takes the next characters; gives the ids that have become stable, four bytes each."""
+        out = []
+        if self.going is not None:
+            chunk = self._go_on(chunk, out)
+        if chunk:
+            self._cut(self.held + chunk, out)
+        return b"".join(out)
+
+    def finish(self) -> bytes:
+        out = []
+        if self.going is not None:
+            self._close(self.held, out)
+        elif self.held:
+            out += map(self.of.memo.__getitem__, self.of.pattern.findall(self.held))
+        self.held = ""
+        return b"".join(out)
+
+    def _cut(self, text: str, out: list[bytes]) -> None:
+        words = self.of.pattern.findall(text)
+        size, at, stable = len(text), len(text), len(words)
+        while stable:  # from the end back to the last word that nothing can change any more
+            end, begin = at, at - len(words[stable - 1])
+            if end < size and begin + CONTRACTION <= size:
+                break
+            at, stable = begin, stable - 1
+        if len(self.of.memo) > REMEMBERED:
+            self.of.memo.clear()
+        out += map(self.of.memo.__getitem__, words[:stable])
+        self.held = text[at:]
+        if len(words) - stable == 1 and len(self.held) > HELD:
+            self.going, run = Word(self.of), self.held
+            self.run = "space" if run[-1].isspace() else self.of.runs.match(run, len(run) - 1)[0]
+            self.held = run[-1] if self.run == "space" else ""
+            out.append(self._fed(run[:-1] if self.held else run))
+
+    def _go_on(self, chunk: str, out: list[bytes]) -> str:
+        """Feeds what belongs to the pre-token that is going on; gives what comes after it, "" while it may still go on.
+
+        The last blank of a run belongs to what follows it, if that is no blank: it is held back."""
+        found = self.of.runs.match(chunk)
+        same = found and (chunk[0].isspace() if self.run == "space" else self.of.runs.fullmatch(self.run + chunk[0]) is not None)
+        size = found.end() if same else 0
+        if size == len(chunk):
+            mine = self.held + chunk
+            self.held = mine[-1] if self.run == "space" else ""
+            out.append(self._fed(mine[:-1] if self.held else mine))
+            return ""
+        mine = self.held + chunk[:size]
+        rest = mine[-1:] if self.run == "space" else ""
+        self._close(mine[: len(mine) - len(rest)], out)
+        self.held = ""
+        return rest + chunk[size:]
+
+    def _fed(self, text: str) -> bytes:
+        return array("i", self.going.feed(text.encode("utf-8", "replace"))).tobytes()
+
+    def _close(self, text: str, out: list[bytes]) -> None:
+        out.append(self._fed(text))
+        out.append(array("i", self.going.finish()).tobytes())
+        self.going = None
 
 
 class Word:

@@ -1,5 +1,6 @@
 """Operators of problems 6 to 8 against the library, brute force and exact round trips."""
 
+import itertools
 import random
 
 import numpy as np
@@ -46,6 +47,32 @@ def test_streams(text, size):
     assert T.decode(want) == text == "".join(T.decode_stream(want))
 
 
+@pytest.mark.parametrize("text", ["x're y", "we'll go", "it's  12 3", "a\n\n b   c", "  'll've''s", "1 2  34\t\tx ", "'r e'", "I'm' d'd 'D", "a'", "é'ré", "don't  \n"])
+def test_all_cuts_of_a_stream(library, text):
+    for n in (1, 2, 3):
+        for cuts in itertools.combinations(range(1, len(text)), n):
+            parts = [text[i:j] for i, j in zip((0, *cuts), (*cuts, len(text)))]
+            assert list(T.encode_stream(parts)) == library(text), parts
+
+
+@pytest.mark.parametrize("text", [" " * 5000 + "x", " " * 3000, "a" * 3000 + " b", "سلام" * 900 + "! x", "!" * 700 + "'re ", "1" * 999 + "a", "\n" * 600 + " y", "x" + " " * 300 + "\t" * 300 + "'s"])
+def test_long_runs_are_handed_on_while_they_go_on(library, text):
+    for size in (1, 7, 255, 256, 257, 1000):
+        state, got = bpe.Encoder(T), b""
+        for i in range(0, len(text), size):
+            got += state.feed(text[i : i + size])
+            assert len(state.held) <= bpe.HELD + size and (state.going is None or len(state.going.text) <= 4 * T.lookahead)
+        assert np.frombuffer(got + state.finish(), dtype=np.int32).tolist() == library(text)
+
+
+def test_all_texts_take_the_transducer(monkeypatch):
+    """No plain merges of a whole pre-token: they only tell which two tokens may stand side by side."""
+    t = bpe.Transducer(bpe.vocabulary_path(), P.PATTERN)
+    seen = []
+    monkeypatch.setattr(bpe.Word, "feed", lambda self, piece, feed=bpe.Word.feed: (seen.append(piece), feed(self, piece))[1])
+    assert t.encode("در آغاز سال it's") == T.encode("در آغاز سال it's") and b"".join(seen).decode() == "در آغاز سال it's"
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.text(alphabet="abeht ", min_size=200, max_size=900).map(lambda s: s.replace(" ", "")), st.integers(1, 300))
 def test_long_words_come_out_as_they_go_in(word, size):
