@@ -156,8 +156,16 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_amounts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_units, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_consistent, p6_ids, p6_decoded, p7_found, p7_report, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_units, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_consistent, p6_ids, p6_decoded, p7_found, p7_report, p8_found, p8_shared, p8_passages, p8_classes)}
 
 
 def _plain_words(text: str) -> str:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -67,10 +68,10 @@ def test_long_runs_are_handed_on_while_they_go_on(library, text):
 
 def test_all_texts_take_the_transducer(monkeypatch):
     """No plain merges of a whole pre-token: they only tell which two tokens may stand side by side."""
-    t = bpe.Transducer(bpe.vocabulary_path(), P.PATTERN)
+    t, want = bpe.Transducer(bpe.vocabulary_path(), P.PATTERN), T.encode("در آغاز سال it's")
     seen = []
     monkeypatch.setattr(bpe.Word, "feed", lambda self, piece, feed=bpe.Word.feed: (seen.append(piece), feed(self, piece))[1])
-    assert t.encode("در آغاز سال it's") == T.encode("در آغاز سال it's") and b"".join(seen).decode() == "در آغاز سال it's"
+    assert t.encode("در آغاز سال it's") == want and b"".join(seen).decode() == "در آغاز سال it's"
 
 
 @settings(max_examples=30, deadline=None)
@@ -220,6 +221,63 @@ def test_many_copies_are_paired_with_their_representative(spark, monkeypatch):
     assert got == {(0, d) for d in range(1, 8)} | {(0, 20)}
 
 
+def test_large_span_classes_are_stars(spark, monkeypatch):
+    """A passage in many records of different text: pairs with its representative, and the members from which all links can be told."""
+    rng = random.Random(12)
+    passage = text(rng, 400)
+    docs = [(d, text(rng, 50) + passage + text(rng, 40)) for d in range(20)] + [(30, text(rng, 500))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = sharing(docs)
+    monkeypatch.setattr(spans, "HOT", 4)
+    monkeypatch.setattr(spans, "COPIES", 5)
+    got = {tuple(r) for r in spans.shared_pairs(df).collect()}
+    assert got <= want and {b for a, b in got if a == 0} == set(range(1, 20)) and len(got) < len(want)
+    members = {}
+    for r in spans.shared_classes(df).collect():
+        assert r["kind"] == "span" and r["members"] == 20 and r["rep"] == 0
+        members.setdefault(r["class_id"], set()).add(r["doc_id"])
+    assert got | {(a, b) for m in members.values() for a in m for b in m if a < b} == want
+    found = spans.shared_passages(df).collect()
+    assert {(r["doc_id_a"], r["doc_id_b"]) for r in found} == got
+    assert all(docs[r["doc_id_b"]][1][r["start_b"] : r["end_b"]] == docs[r["doc_id_a"]][1][r["start_a"] : r["end_a"]] and r["exact_chars"] >= 400 for r in found)
+
+
+def seeds(t):
+    places = {}
+    for h, at in zip(*spans.seeds_of(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32), np.array([0]), np.array([len(t)]))):
+        places.setdefault(int(h), []).append(int(at))
+    return places
+
+
+def stretches(s, t):
+    p, q, around = seeds(s), seeds(t), spans._Spans(s, t)
+    matches = [m for h in p if h in q for m in around.matches(p[h], q[h])]
+    return matches, spans.passages(s, t, matches)[1]
+
+
+@pytest.mark.parametrize(("times", "seconds"), [(80, 0.5), (800, 10)])
+def test_records_that_repeat_one_phrase(times, seconds):
+    phrase = text(random.Random(1), 350)
+    s, t = "q" + phrase * times, "zz" + phrase * times + "x"
+    began = time.process_time()
+    matches, exact = stretches(s, t)
+    assert time.process_time() - began < seconds and len(matches) < 40 * times
+    assert max(n for _, _, n in exact) == 350 * times
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_places_of_one_seed_in_all_surroundings(seed):
+    """A phrase shorter than a span at many places: just what brute force finds is covered, in both records."""
+    rng = random.Random(seed)
+    phrase, around = text(rng, 230), [text(rng, 80) for _ in range(6)]
+    s, t = ("".join(rng.choice(around) + phrase + rng.choice(around) + text(rng, 9) for _ in range(n)) for n in (14, 11))
+    exact = stretches(s, t)[1]
+    for side, (mine, other) in enumerate(((s, t), (t, s))):
+        held = {other[i : i + 300] for i in range(len(other) - 299)}
+        want = {k for i in range(len(mine) - 299) if mine[i : i + 300] in held for k in range(i, i + 300)}
+        assert {k for z in exact for k in range(z[side], z[side] + z[2])} == want and want
+
+
 def test_amounts(spark, monkeypatch):
     rng = random.Random(4)
     piece = text(rng, 350)
@@ -257,4 +315,4 @@ def test_fuzzy_passages_bridge_gaps():
 
 def test_nothing_shared(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
-    assert spans.shared_pairs(df).count() == 0 == spans.shared_amounts(df).count()
+    assert spans.shared_pairs(df).count() == 0 == spans.shared_amounts(df).count() == spans.shared_passages(df).count() == spans.shared_classes(df).count()
