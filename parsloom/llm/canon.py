@@ -2,10 +2,12 @@
 
 Look-alikes are strings as well as single code points: a letter and its mark beside the joined letter, a
 positional shape beside the letter, a wide letter beside the narrow one. Pairs of look-alikes come from rules
-over the character database; union-find closes them into classes. Each class has one representative, the most
-frequent of its eligible members in the corpus, and a multi-pattern automaton rewrites every other member to it,
-always taking the longest match. What depends on the surroundings (width in Chinese and Japanese, the
-zero-width non-joiner, one alphabet per word) is settled beside it.
+over the character database; union-find closes them into classes. Where the definition names a class's
+representative (in Persian records the Persian letter, the joined letter, the plain blank) it is that one, however
+the corpus writes; a multi-pattern automaton rewrites every other member to it, always taking the longest match.
+Letters of several alphabets that look alike are classes too, with a member for each alphabet: a word is written with
+the members of one alphabet, that of most of its letters, and where these are equal the one that the corpus writes
+most. Width in Chinese and Japanese and the zero-width non-joiner depend on their surroundings and are settled beside it.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ def _is_invisible(c: str) -> bool:
 
 @lru_cache(None)
 def look_alikes(persian: bool) -> tuple[tuple[tuple[str, ...], tuple[str, ...]], ...]:
-    """Classes of look-alike strings, each with its eligible representatives; where nothing is counted the first one is taken."""
+    """Classes of look-alike strings, each with its eligible representatives, of which the first one is taken."""
     classes, plain = Classes(), set()
     for o in [*range(0x80, 0x3000), *range(0xA640, 0xAC00), *range(0xF900, 0xFFF0), *range(0x1D15E, 0x1D1C1)]:
         c = chr(o)
@@ -108,7 +110,7 @@ def look_alikes(persian: bool) -> tuple[tuple[tuple[str, ...], tuple[str, ...]],
         # a Persian letter and its kin, or one of the plain forms, where the class has any; a letter without its mark never
         own = [m for m in members if persian and m in PERSIAN_KIN]
         if own:
-            out.append((tuple(members), (own[0], *PERSIAN_KIN[own[0]])))
+            out.append((tuple(members), (own[0],)))
             continue
         best = [m for m in members if m in plain] or [m for m in members if len(m) == 1]
         least = min(map(len, best))
@@ -118,15 +120,30 @@ def look_alikes(persian: bool) -> tuple[tuple[tuple[str, ...], tuple[str, ...]],
 
 WIDE = {chr(o): ud.normalize("NFKC", chr(o)) for o in [*range(0xFF01, 0xFF5F), *range(0xFF61, 0xFFBF), *range(0xFFE0, 0xFFE7), *range(0xFFE8, 0xFFEF)] if ud.category(chr(o)) != "Cn" and chr(o) not in "￣"}
 WIDE["　"] = " "
-_ALPHABET = {}
-for _latin, _others in LATIN_KIN.items():
-    for _c in _others:
-        _ALPHABET[_c] = _latin
-_TO_CYRILLIC = {l: o for l, others in LATIN_KIN.items() for o in others if "Ѐ" <= o <= "ԯ"}
-_TO_GREEK = {l: o for l, others in LATIN_KIN.items() for o in others if "Ͱ" <= o <= "Ͽ"}
+ALPHABETS = ("latin", "cyrillic", "greek")
+
+
+def alphabet(c: str) -> str | None:
+    """The alphabet of a letter that has look-alikes in others; None for a mark and for any other character."""
+    if "Ѐ" <= c <= "ԯ":
+        return "cyrillic"
+    if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿":
+        return "greek"
+    return "latin" if c < "ɐ" or "Ḁ" <= c <= "ỿ" else None
+
+
+@lru_cache(None)
+def kin() -> dict[str, tuple[str, ...]]:
+    """Of each letter with look-alikes in other alphabets its class, closed by union-find."""
+    classes = Classes()
+    for latin, others in LATIN_KIN.items():
+        for c in others:
+            classes.join(latin, c)
+    return {c: tuple(sorted(members, key=lambda m: (ALPHABETS.index(alphabet(m)), ord(m)))) for members in classes.groups() for c in members}
+
+
 _ARABIC = "ء-غف-ٟٮ-ۓەۮۯۺ-ۿݐ-ݿࡰ-ࢇࢠ-ࣉﭐ-﷿ﹰ-ﻼ"
 _WORD = re.compile("[A-Za-zªºÀ-ɏͰ-ϿЀ-ԯḀ-῿̀-ͯ]+")
-_OTHER = re.compile("[Ͱ-ϿЀ-ԯ]")
 _MIXED = re.compile("[A-Za-zÀ-ɏ̀-ͯ][Ͱ-ϿЀ-ԯ]|[Ͱ-ϿЀ-ԯ][A-Za-zÀ-ɏ]|[Ͱ-Ͽ][Ѐ-ԯ]|[Ѐ-ԯ][Ͱ-Ͽ]")
 _CJK = re.compile("[ぁ-ゖゝ-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
 _BAD_JOINER = re.compile(f"(?<![{_ARABIC}]){ZWNJ}+|{ZWNJ}+(?![{_ARABIC}])|{ZWNJ}{{2,}}")
@@ -146,14 +163,16 @@ def _set(chars: Iterable[str]) -> str:
 
 
 class Canon:
-    """Rewrites text to the consistent form. counts: how often each class member stands in the corpus."""
+    """Rewrites text to the consistent form. counts: how often each contested letter stands in the corpus."""
 
     def __init__(self, persian: bool, counts: dict[str, int] | None = None) -> None:
         counts = counts or {}
         self.rewrite: dict[str, str] = {}
         for members, best in look_alikes(persian):
-            to = max(best, key=lambda m: (counts.get(m, 0), -best.index(m)))
-            self.rewrite |= {m: to for m in members if m != to}
+            self.rewrite |= {m: best[0] for m in members if m != best[0]}
+        #: How often the corpus writes letters with look-alikes in each alphabet, and each letter's most frequent look-alike there.
+        self.written = {x: sum(counts.get(c, 0) for c in kin() if alphabet(c) == x) for x in ALPHABETS}
+        self.member = {(c, x): max((m for m in members if alphabet(m) == x), key=lambda m: counts.get(m, 0), default=None) for c, members in kin().items() for x in ALPHABETS}
         self.invisible = {chr(o): "" for o in [*range(0x3000), *range(0xFE00, 0x10000), *range(0xE0000, 0xE0200)] if _is_invisible(chr(o))}
         self.automaton = ahocorasick.Automaton()
         for m, to in self.rewrite.items():
@@ -181,22 +200,14 @@ class Canon:
 
         def one(m: re.Match) -> str:
             w = m[0]
-            latin = sum(c < "ɐ" or "Ḁ" <= c <= "ỿ" for c in w)
-            greek = sum("Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" for c in w)
-            cyrillic = sum("Ѐ" <= c <= "ԯ" for c in w)
-            if (latin > 0) + (greek > 0) + (cyrillic > 0) < 2:
+            of = [alphabet(c) for c in w]
+            sizes = {x: of.count(x) for x in ALPHABETS}
+            if sum(n > 0 for n in sizes.values()) < 2:
                 return w
-            for n, to in sorted(((latin, None), (cyrillic, _TO_CYRILLIC), (greek, _TO_GREEK)), key=lambda x: -x[0]):
-                if n:
-                    out = "".join(_ALPHABET.get(c, c) for c in w)  # all that can be Latin
-                    if to is None:
-                        done = not _OTHER.search(out)
-                    else:
-                        low, high = ("Ѐ", "ԯ") if to is _TO_CYRILLIC else ("Ͱ", "Ͽ")
-                        out = "".join(c if low <= c <= high else to.get(_ALPHABET.get(c, c), c) for c in w)
-                        done = all(low <= c <= high or "̀" <= c <= "ͯ" for c in out)
-                    if done:
-                        return out
+            for x in sorted((x for x in ALPHABETS if sizes[x]), key=lambda x: (-sizes[x], -self.written[x])):
+                out = [c if own in (x, None) else self.member.get((c, x)) for c, own in zip(w, of)]
+                if None not in out:
+                    return "".join(out)
             return w
 
         return _WORD.sub(one, text)
@@ -215,10 +226,9 @@ class Canon:
         mixed = _MIXED.search(text)
         if not mixed and not self.unplain.search(text) and not (ZWNJ in text and _BAD_JOINER.search(text)):
             return text
-        for _ in range(4):  # what is rewritten may join its new neighbours
+        before = None
+        while text != before:  # what is rewritten may join its new neighbours; each round leaves fewer members that aren't representatives
             before, text = text, self.once(text)
-            if text == before:
-                break
         return text
 
     def once(self, text: str) -> str:
@@ -244,26 +254,24 @@ def canon(persian: bool = True, counts: dict[str, int] | None = None) -> Canon:
 
 @lru_cache(None)
 def contested() -> tuple[str, ...]:
-    """The eligible representatives of all classes that have more than one: only their counts matter."""
-    return tuple(sorted({m for persian in (False, True) for _, best in look_alikes(persian) if len(best) > 1 for m in best}))
+    """The letters among whose look-alikes the definition leaves the choice to the corpus: those of several alphabets."""
+    return tuple(sorted(kin()))
 
 
 def member_counts(df: DataFrame, text: str = "text") -> dict[str, int]:
-    """How often each contested class member stands in df, counted over all rows: Persian letters and their kin, in Persian text.
+    """How often each contested letter stands in df, counted over all rows.
 
-    The classes are a fixed table of the character database, so the driver gets a bounded number of rows. Null texts
-    count nothing; where no class is contested nothing is read."""
+    The letters are a fixed table, so the driver gets a bounded number of rows. Null texts count nothing."""
     members = contested()
-    if not members:
-        return {}
+    points = np.array([ord(m) for m in members])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(members), dtype=np.int64)
         for b in batches:
             for s in b.column(0).to_pylist():
-                if s and not s.isascii():
-                    for i, m in enumerate(members):
-                        total[i] += s.count(m)
+                if s:
+                    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                    total += np.bincount(codes[codes < 0x600], minlength=0x600)[points]
         yield pa.record_batch({"member": pa.array(members), "n": pa.array(total)})
 
     rows = df.select(F.col(f"`{text}`").alias("t")).mapInArrow(count, "member string, n bigint").groupBy("member").agg(F.sum("n").alias("n")).collect()

@@ -81,9 +81,10 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 4: repeated lines
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pn, tn = table(spark, sf_dir, "pn_summary_doc"), table(spark, sf_dir, "tnews_doc")
+    counts = _counts(_shown(spark, sf_dir))  # one consistent form for problems 4 and 5
     return written(
-        repeats.lines_of(pn, F.col("id"), repeats.network(F.col("network")), F.col("article"), "pn_summary_doc").unionByName(
-            repeats.lines_of(tn, F.col("id"), repeats.host(F.col("url")), F.col("text"), "tnews_doc")
+        repeats.lines_of(pn, F.col("id"), repeats.network(F.col("network")), F.col("article"), "pn_summary_doc", counts).unionByName(
+            repeats.lines_of(tn, F.col("id"), repeats.host(F.col("url")), F.col("text"), "tnews_doc", counts)
         )
     )
 
@@ -101,6 +102,11 @@ def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union(parts)
 
 
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line in excess with its counts, ratio and whether the test finds it above what other sources have."""
+    return repeats.excess_lines(_lines(spark, sf_dir))
+
+
 # 5: one consistent form
 def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
@@ -111,16 +117,20 @@ def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union(parts)
 
 
+def _counts(shown: DataFrame) -> dict[str, int]:
+    return canon.member_counts(shown.where("persian"), "shown")
+
+
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = _shown(spark, sf_dir)
-    counts = canon.member_counts(shown.where("persian"), "shown")
+    counts = _counts(shown)
     formed = canon.consistent(shown, "shown", F.col("persian"), counts)
     return formed.where((F.col("source_table") != "hamshahri_doc") | ~mojibake.is_damaged(F.col("shown")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = _shown(spark, sf_dir)
-    counts = canon.member_counts(shown.where("persian"), "shown")
+    counts = _counts(shown)
     return canon.unlike(shown, "shown", F.col("persian"), counts, skip_damaged=F.col("source_table") == "hamshahri_doc").select("source_table", "doc_key").distinct()
 
 
@@ -165,7 +175,7 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_units, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_consistent, p6_ids, p6_decoded, p7_found, p7_report, p8_found, p8_shared, p8_passages, p8_classes)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_units, p3_found, p3_restored, p4_found, p4_cleaned, p4_report, p5_found, p5_consistent, p6_ids, p6_decoded, p7_found, p7_report, p8_found, p8_shared, p8_passages, p8_classes)}
 
 
 def _plain_words(text: str) -> str:
