@@ -144,7 +144,7 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     it = spark.createDataFrame([*items, (77, None), (78, ""), (79, "short text"), items[0]], "item_id bigint, text string")
     want = leaked([d for d in docs if d[1]], items)
     assert {tuple(r) for r in leakage.leaks(df, it).collect()} == want and want
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(leakage, "BITS", 64)  # bits that many words share
     assert {tuple(r) for r in leakage.leaks(df, it).collect()} == want
     report = {r["doc_id"]: r["items"] for r in leakage.leak_report(df, it).collect()}
     assert report == {d: len({i for x, i in want if x == d}) for d, _ in want}
