@@ -15,7 +15,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,9 +133,9 @@ NONE, SHAPE = 0, 1
 _THAI = re.compile("[฀-๿]")  # it writes no end marks
 
 
-def _unit(unit: str, kinds: bytes, frequent: frozenset[str], seen: dict[int, int]) -> int | tuple[bool, float, float | None, float | None]:
+def _unit(unit: str, kinds: bytes, frequent: frozenset[str], seen: dict[int, int], marked: bool) -> int | tuple[bool, float, float | None, float | None]:
     """NONE, SHAPE, or whether a run of words closes as its script's sentences do, and its UNIT_STATISTICS (null where its script
-    has no words between blanks, or none of its words are listed)."""
+    has no words between blanks, or none of its words are listed). marked: whether there is any markup in the unit's text."""
     text = unit.strip()
     n = len(kinds) - kinds.count(_BLANK)
     lost, dense, hindi = kinds.count(_LOST), kinds.count(_DENSE), kinds.count(_HINDI)
@@ -157,7 +157,7 @@ def _unit(unit: str, kinds: bytes, frequent: frozenset[str], seen: dict[int, int
         return NONE
     if _times_said(" ".join(words) + " ", seen) > 3:
         return NONE
-    if _MARKUP.search(text) and sum(1 for _ in _MARKUP.finditer(text)) * 6 > many:
+    if marked and sum(1 for _ in _MARKUP.finditer(text)) * 6 > many:
         return NONE
     if _BULLET.match(text) and not (ended and many >= 6):
         return NONE
@@ -210,12 +210,14 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
     units = []
     seen: dict[int, int] = {}
     frequent = _frequent(common)
+    cells, marked = bool(_CELLS.search(text)), bool(_MARKUP.search(text))
     for end in unit_ends(text):
-        for piece in _pieces(text[at:end]):
+        unit = text[at:end]
+        for piece in _pieces(unit) if cells else (unit,):
             n = len(piece.strip())
             total += n
             if n:
-                found = _unit(piece, kind[at : at + len(piece)], frequent, seen)
+                found = _unit(piece, kind[at : at + len(piece)], frequent, seen, marked)
                 if found == SHAPE:
                     sure += n
                 elif found != NONE:
@@ -243,16 +245,20 @@ def text_statistics(df: DataFrame, common_words: list[str], text: str = "text",
     if into.lower() in (c.lower() for c in df.columns):
         raise ValueError(f"column {into} exists already")
     common = tuple(sorted({w for w in common_words if w}))
-    names = [f.split()[0] for f in SCHEMA.replace("struct<", "").split(", ")]
+    kinds = [pa.string(), *[pa.float64()] * 5, pa.int32(), pa.int32()]
+    names = ["language", *STATISTICS[:-1], "chars", "sure", "units"]
 
-    @F.pandas_udf(SCHEMA)
-    def stats(texts: pd.Series) -> pd.DataFrame:
-        texts = texts.tolist()
+    @F.arrow_udf(SCHEMA)
+    def stats(texts: pa.Array) -> pa.Array:
+        texts = texts.to_pylist()
         rows = [describe(s and put_back(s, found), _common(common)) for s, found in zip(texts, all_spans(texts))]
-        out = pd.DataFrame(rows, columns=names)
-        parts = ("n", "ended", *UNIT_STATISTICS)
-        out["units"] = [None if u is None else [dict(zip(parts, x)) for x in u] for u in out["units"]]
-        return out.astype({"chars": "Int32", "sure": "Int32"})
+        columns = list(zip(*rows)) if rows else [()] * 9
+        lists = columns.pop()
+        flat = list(zip(*(u for units in lists for u in units or ()))) or [()] * 5
+        units = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(flat, [pa.int32(), pa.bool_(), *[pa.float32()] * 3])], ["n", "ended", *UNIT_STATISTICS])
+        ends = np.cumsum([0, *(len(u or ()) for u in lists)]).astype(np.int32)
+        parts = [pa.array(x, k) for x, k in zip(columns, kinds)]
+        return pa.StructArray.from_arrays([*parts, pa.ListArray.from_arrays(pa.array(ends), units)], names)
 
     # else a filter on a statistic would take them all a second time
     stats = stats.asNondeterministic()
