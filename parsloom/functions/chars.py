@@ -33,7 +33,7 @@ _BASES = {
     "WAW": "و", "HEH": "ه", "YEH": "ی", "FARSI YEH": "ی", "KASHMIRI YEH": "ی", "ALEF MAKSURA": "ی",
     "TTEHEH": "ت", "TTEH": "ت", "TEHEH": "ت", "BEEH": "ب", "BEHEH": "ب", "NYEH": "ح", "DYEH": "ح", "TCHEHEH": "چ", "DDAL": "د", "DAHAL": "د", "DDAHAL": "د", "DUL": "د", "RREH": "ر", "VEH": "ف", "PEHEH": "ف", "NG": "ک", "NGOEH": "گ", "GUEH": "گ",
     "NOON GHUNNA": "ن", "RNOON": "ن", "HEH DOACHASHMEE": "ه", "HEH GOAL": "ه", "TEH MARBUTA GOAL": "ه", "KIRGHIZ OE": "و", "OE": "و", "U": "و", "YU": "و", "KIRGHIZ YU": "و", "VE": "و", "E": "ی", "YEH BARREE": "ی", "AE": "ه",
-    "HIGH HAMZA ALEF": "ا", "HIGH HAMZA WAW": "و", "U WITH HAMZA ABOVE": "و", "HIGH HAMZA YEH": "ی", "DOTLESS BEH": "ب", "DOTLESS QAF": "ق", "DOTLESS FEH": "ف", "ROHINGYA YEH": "ی", "LOW ALEF": "ا", "BURUSHASKI YEH BARREE": "ی", "STRAIGHT WAW": "و", "HAMZA ON HIGH": "ء",
+    "HIGH HAMZA ALEF": "ا", "HIGH HAMZA WAW": "و", "U WITH HAMZA ABOVE": "و", "HIGH HAMZA YEH": "ی", "DOTLESS BEH": "ب", "DOTLESS QAF": "ق", "DOTLESS FEH": "ف", "ROHINGYA YEH": "ی", "LOW ALEF": "ا", "BURUSHASKI YEH BARREE": "ی", "STRAIGHT WAW": "و", "HAMZA ON HIGH": "ء", "AFRICAN FEH": "ف", "AFRICAN QAF": "ق", "AFRICAN NOON": "ن",
 }
 _STAY = set(LETTERS) | set("ءأؤإئةۀ")
 
@@ -45,7 +45,7 @@ def unification() -> dict[str, str]:
     Positional shapes follow the character database; letters with further dots or marks follow their name's base letter.
     Arabic kaf and yeh become the Persian ones."""
     out = {"“": '"', "”": '"', "ك": "ک", "ي": "ی", "ى": "ی"}
-    for o in [*range(0x620, 0x700), *range(0x750, 0x780), *range(0x8A0, 0x8B5)]:
+    for o in [*range(0x620, 0x700), *range(0x750, 0x780), *range(0x8A0, 0x8B5), *range(0x8B6, 0x8BE)]:
         c = chr(o)
         if ud.category(c) != "Lo" or c in _STAY or c in out:
             continue

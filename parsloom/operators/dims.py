@@ -11,15 +11,21 @@ from pyspark.sql import functions as F
 
 from parsloom.functions.chars import trim
 
-#: Rows up to which a dimension table is broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes, in files or rows at hand, up to which a dimension table is broadcast, and rows up to which one may travel as sets.
+BROADCAST_BYTES, BROADCAST_ROWS = 16 * 1024 * 1024, 2_000_000
+#: Steps of a plan that may give more bytes than they take.
+_GROWING = ("Generate", "Join", "Expand", "InPandas", "InArrow", "Union", "Python", "Window")
 
 LEXICON = "word string, frequency bigint, pos_tags array<string>"
 
 
-def sized(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """dim with a broadcast hint where its size is checked to be within the limit, as it is beyond."""
-    return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else dim
+def sized(dim: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """dim with a broadcast hint where its plan proves its size: files or rows of at most limit bytes, and steps that only make them
+    fewer. All else is left to adaptive execution, which broadcasts what turns out to be small. Nothing runs for it."""
+    plan = dim._jdf.queryExecution().optimizedPlan()
+    if int(plan.stats().sizeInBytes()) > limit or any(step in plan.toString() for step in _GROWING):
+        return dim
+    return F.broadcast(dim)
 
 
 def lexicon_from_rows(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parsloom.functions.tokens import words
-from parsloom.functions.vectors import add, cosine, unit, zeros
+from parsloom.functions.vectors import cosine, unit, zeros
 from parsloom.operators.dims import sized
 
 #: Queries that meet the vectors in one pass, as one matrix; more take more passes.
@@ -37,13 +37,13 @@ def vocabulary(vectors: DataFrame) -> DataFrame:
 
 def embed_words(asked: DataFrame, vectors: DataFrame, word: str = "word", or_zero: bool = False, into: str = "vec") -> DataFrame:
     """asked with the word's vector: null, or zeros, for unknown and null words."""
-    out = asked.join(sized(vectors.select(F.col("word").alias(word), F.col("vec").alias(into)), 50_000), word, "left")
+    out = asked.join(sized(vectors.select(F.col("word").alias(word), F.col("vec").alias(into))), word, "left")
     return out.withColumn(into, F.coalesce(into, zeros(dim(vectors)).cast("array<float>"))) if or_zero else out
 
 
 def similarity(pairs: DataFrame, vectors: DataFrame, a: str = "a", b: str = "b", into: str = "similarity") -> DataFrame:
     """pairs of words with their cosine similarity: null where a word is unknown, 0 where a vector is zero."""
-    v = sized(vectors.select("word", "vec"), 50_000)
+    v = sized(vectors.select("word", "vec"))
     out = pairs.join(v.select(F.col("word").alias(a), F.col("vec").alias("_a")), a, "left").join(v.select(F.col("word").alias(b), F.col("vec").alias("_b")), b, "left")
     return out.select(*pairs.columns, cosine(F.col("_a"), F.col("_b")).alias(into))
 
@@ -112,7 +112,7 @@ def doesnt_match(groups: DataFrame, vectors: DataFrame, key: str = "key", words:
 
     No row where a word is unknown or the group is empty; a single word is its own odd one out. A group is one row's array."""
     one = groups.select(key, F.size(words).alias("n"), F.posexplode(words).alias("i", "word"))
-    v = sized(vectors.select("word", "vec"), 50_000)
+    v = sized(vectors.select("word", "vec"))
     known = one.join(v, "word").groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("i", "word", "vec"))).alias("g")).where(F.size("g") == F.col("n"))
     mean = F.transform(
         "g",
@@ -131,13 +131,18 @@ def embed_sentences(sentences: DataFrame, vectors: DataFrame, key: str = "key",
     Sums fold before the shuffle token by token: each distinct token of a sentence is joined once with its count."""
     d = dim(vectors)
     parts = sentences.select(key, F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    known = parts.join(sized(vectors.select("word", "vec"), 50_000), "word")
-    folded = known.groupBy(key).agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "vec")).alias("vs"))
-    total = F.aggregate("vs", zeros(d), lambda s, x: add(s, F.transform(x["vec"], lambda y: y.cast("double") * x["n"])))
-    mean = folded.select(key, F.transform(total, lambda y: y / F.col("n")).alias(into))
+    known = parts.join(sized(vectors.select("word", "vec")), "word")
+    mean = _means(known, key).withColumnRenamed("vec", into)
     return sentences.select(key).distinct().join(mean, key, "left").select(key, F.coalesce(into, zeros(d)).alias(into))
 
 
+def _means(rows: DataFrame, key: str) -> DataFrame:
+    """(key, vec): the mean of the key's vectors, each n times. Sums fold component by component before the shuffle, so a key has at
+    most as many rows as a vector has components, however many vectors it has."""
+    each = rows.select(key, "n", F.posexplode("vec").alias("_i", "_x")).groupBy(key, "_i").agg((F.sum(F.col("_x").cast("double") * F.col("n")) / F.sum("n")).alias("_m"))
+    return each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_all")).select(key, F.transform("_all", lambda s: s["_m"]).alias("vec"))
+
+
 def embed_texts(texts: DataFrame, vectors: DataFrame, key: str = "key", text: str = "text", into: str = "embedding") -> DataFrame:
     """(key, embedding) of texts, cut into words but not normalized; zeros for null and empty texts."""
     return embed_sentences(texts.select(key, words(F.col(f"`{text}`")).alias("tokens")), vectors, key, "tokens", into)
@@ -189,15 +194,16 @@ def embed_subwords(words: DataFrame, vectors: DataFrame, buckets: DataFrame, min
     sub = distinct.select("word", F.explode(grams("word")).alias("bucket")).groupBy("word", "bucket").agg(F.count("*").alias("n"))
     rows = sub.join(buckets.select("bucket", "vec"), "bucket").select("word", "n", "vec")
     rows = rows.unionByName(distinct.join(vectors.select("word", "vec"), "word").select("word", F.lit(1).cast("bigint").alias("n"), "vec"))
-    d = dim(vectors) or dim(buckets)
-    folded = rows.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "vec")).alias("vs"))
-    total = F.aggregate("vs", zeros(d), lambda s, x: add(s, F.transform(x["vec"], lambda y: y.cast("double") * x["n"])))
-    mean = folded.select("word", F.transform(total, lambda y: y / F.col("n")).alias("m"))
-    return distinct.join(mean.select("word", unit(F.col("m")).cast("array<float>").alias(into)), "word", "left")
+    mean = _means(rows, "word")
+    return distinct.join(mean.select("word", unit(F.col("vec")).cast("array<float>").alias(into)), "word", "left")
 
 
-def contains(words: DataFrame, vectors: DataFrame, word: str = "word", subwords: bool = False, into: str = "known") -> DataFrame:
-    """words with whether a vector can be had: a row of its own, or any subword where the model has them."""
+def contains(words: DataFrame, vectors: DataFrame, word: str = "word", subwords: tuple[int, int, int] | None = None, into: str = "known") -> DataFrame:
+    """words with whether a vector can be had: a row of its own or, where the model's subwords (minn, maxn, bucket) are given, any byte
+    n-gram of <word> of minn to maxn bytes. False for null."""
     out = words.join(sized(vectors.select(F.col("word").alias(word), F.lit(True).alias("_k"))), word, "left")
-    known = F.col("_k").isNotNull() | (F.lit(subwords) & F.col(word).isNotNull())
-    return out.select(*words.columns, known.alias(into))
+    known = F.col("_k").isNotNull()
+    if subwords and all(subwords):
+        minn, maxn, _ = subwords
+        known = known | (F.lit(minn <= maxn) & (F.octet_length(F.col(word)) + 2 >= minn))
+    return out.select(*words.columns, F.coalesce(known, F.lit(False)).alias(into))

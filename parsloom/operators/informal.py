@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parsloom.functions.chars import ZWNJ
+from parsloom.functions.tokens import sentences, words
 from parsloom.operators.dims import sized
 from parsloom.operators.lemmas import lemmatize
+from parsloom.operators.normalize import normalize
 from parsloom.operators.verbs import templates
 
 #: Suffixes of informal words in the order in which they are tried.
@@ -167,3 +169,18 @@ def normalize_informal(tokens: DataFrame, verb_map: DataFrame, informal_words: D
     """tokens with their candidates; each distinct token is resolved once. Null tokens have null candidates."""
     resolved = formal_candidates(tokens.select(F.col(f"`{token}`").alias("word")), verb_map, informal_words, lexicon)
     return tokens.join(resolved.withColumnRenamed("word", token), token, "left")
+
+
+def normalize_text(texts: DataFrame, verb_map: DataFrame, informal_words: DataFrame, lexicon: DataFrame, verb_forms: DataFrame, text: str = "text") -> DataFrame:
+    """One row for each word of each sentence of the normalized text, in three steps: the normalizer, the cut into sentences and words,
+    and the formal words that each may stand for. Adds sent_ix, tok_ix, token and candidates (best first) in place of the text.
+
+    Null and empty texts have no rows. Each distinct token is resolved once. Raises ValueError where df has a column of a new one's name."""
+    taken = {"sent_ix", "tok_ix", "token", "candidates", "_normal", "_s"} & {c.lower() for c in texts.columns}
+    if taken:
+        raise ValueError(f"columns exist already: {sorted(taken)}")
+    kept = [F.col(f"`{c}`") for c in texts.columns if c != text]
+    clean = normalize(texts, lexicon, verb_forms, text, "_normal")
+    sents = clean.select(*kept, F.posexplode(sentences(F.col("_normal"))).alias("sent_ix", "_s"))
+    tokens = sents.select(*kept, "sent_ix", F.posexplode(words(F.col("_s"))).alias("tok_ix", "token"))
+    return normalize_informal(tokens, verb_map, informal_words, lexicon).select(*kept, "sent_ix", "tok_ix", "token", "candidates")

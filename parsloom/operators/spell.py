@@ -5,11 +5,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parsloom.operators.dims import sized
-from parsloom.operators.tables import written
 
 #: The letters that may be put into a word.
 ALPHABET = "اآأإبپتثجچحخدذرزژسشصضطظعغفقکكگلمنوؤهةۀیيىئ"
@@ -51,14 +50,26 @@ def _one_edit(a: str, b: str, letters: frozenset[str]) -> bool:
     return m == n + 1 and any(b[i] in letters and b[:i] + b[i + 1 :] == a for i in range(m))
 
 
-def _two_edits(w: str, v: str, letters: frozenset[str]) -> bool:
-    if abs(len(w) - len(v)) > 2:
+def _within(a: str, b: str, edits: int, letters: frozenset[str]) -> bool:
+    """Whether b comes of a by at most so many edits, two at most: the first difference is deleted, replaced, put in or swapped.
+
+    Two edits that meet in one place are told beside that: a letter swapped past two others, and two letters swapped past
+    one that goes."""
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    if not a and not b:
+        return True
+    if not edits or abs(len(a) - len(b)) > edits:
         return False
-    use = [c for c in set(v) if c in letters]
-    n = len(w)
-    between = {w[:i] + w[i + 1 :] for i in range(n)} | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(n - 1)}
-    between |= {w[:i] + c + w[i + 1 :] for i in range(n) for c in use if c != w[i]} | {w[:i] + c + w[i:] for i in range(n + 1) for c in use}
-    return any(_one_edit(u, v, letters) for u in between)
+    if a and _within(a[1:], b, edits - 1, letters):
+        return True
+    if b and b[0] in letters and (_within(a, b[1:], edits - 1, letters) or a and _within(a[1:], b[1:], edits - 1, letters)):
+        return True
+    if len(a) > 1 and _within(a[1] + a[0] + a[2:], b, edits - 1, letters):
+        return True
+    return edits > 1 and len(a) > 2 and (a[2] + a[:2] + a[3:] == b or b[:2] == a[2] + a[0] and a[3:] == b[2:])
 
 
 def _deletions(words: pd.Series) -> pd.Series:
@@ -72,29 +83,29 @@ def _deletions(words: pd.Series) -> pd.Series:
 def candidates(words: DataFrame, lexicon: DataFrame, word: str = "word", alphabet: str = ALPHABET) -> DataFrame:
     """(word, candidate) for every distinct word: itself where it is known, else known words one edit away, else two, else itself.
 
-    Two edits are found through deletions: words two edits apart have a common string two deletions away at most. So the
-    lexicon's deletions are joined with those of the words still open, and each pair is verified against the letters that
+    Edits are found through deletions: words two edits apart have a common string two deletions away at most. So the
+    lexicon's deletions are joined with those of the unknown words, and each pair is verified once against the letters that
     may be put in. Null words are left out; "" is a word."""
     letters = frozenset(alphabet)
-    distinct = written(words.select(F.col(f"`{word}`").alias("word")).where("word is not null").distinct())
-    table = sized(lexicon.select(F.col("word").alias("candidate")).where("candidate is not null").distinct())
-    known = distinct.join(table.withColumnRenamed("candidate", "word"), "word", "left_semi").select("word", F.col("word").alias("candidate"))
-    open1 = distinct.join(table.withColumnRenamed("candidate", "word"), "word", "left_anti")
-    first = written(open1.select("word", F.explode(edits1(F.col("word"), alphabet)).alias("candidate")).join(table, "candidate", "left_semi").select("word", "candidate"))
-    open2 = open1.join(first.select("word").distinct(), "word", "left_anti")
-
+    distinct = words.select(F.col(f"`{word}`").alias("word")).where("word is not null").distinct()
+    table = lexicon.select(F.col("word").alias("candidate")).where("candidate is not null").distinct()
+    asked = distinct.join(sized(table.select(F.col("candidate").alias("word"), F.lit(True).alias("_in"))), "word", "left")
     deletions = F.pandas_udf(_deletions, "array<string>")
 
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_two_edits(x, y, letters) for x, y in zip(a, b)], dtype=bool)
-
-    index = lexicon.select(F.col("word").alias("candidate")).where("candidate is not null").distinct().select("candidate", F.explode(deletions("candidate")).alias("d"))
-    asked = open2.select("word", F.explode(deletions("word")).alias("d"))
-    pairs = asked.join(index, "d").select("word", "candidate").distinct()
-    second = written(pairs.where(near("word", "candidate")))
-    rest = open2.join(second.select("word").distinct(), "word", "left_anti").select("word", F.col("word").alias("candidate"))
-    return known.unionByName(first).unionByName(second).unionByName(rest)
+    @F.pandas_udf("int")
+    def edits(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([1 if _one_edit(x, y, letters) else 2 if _within(x, y, 2, letters) else 9 for x, y in zip(a, b)], dtype="int32")
+
+    index = table.select("candidate", F.explode(deletions("candidate")).alias("d"))
+    pairs = asked.where("_in is null").select("word", F.explode(deletions("word")).alias("d")).join(index, "d").select("word", "candidate")
+    # a fixed number of partitions: the pairs are few bytes, but each is work
+    pairs = pairs.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word", "candidate").distinct()
+    # two edits change four places at most, and two letters come or go
+    near = pairs.where((F.abs(F.length("word") - F.length("candidate")) <= 2) & (F.levenshtein("word", "candidate", 4) >= 0))
+    graded = near.select("word", "candidate", edits("word", "candidate").alias("edits")).where("edits <= 2")
+    own = asked.select("word", F.col("word").alias("candidate"), F.when(F.col("_in"), 0).otherwise(3).alias("edits"))
+    least = F.min("edits").over(Window.partitionBy("word"))
+    return own.unionByName(graded).withColumn("_least", least).where("edits = _least").select("word", "candidate")
 
 
 def correct(words: DataFrame, lexicon: DataFrame, word: str = "word", into: str = "correction", alphabet: str = ALPHABET) -> DataFrame:

@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where none is named."""
+    """spark.checkpoint.dir; a temporary folder of our own where none is named and all tasks run on this machine.
+
+    Raises RuntimeError on a cluster without the setting: executors would each write to a disk of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = found.get() if found.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="parsloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named

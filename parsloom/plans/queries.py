@@ -179,6 +179,14 @@ def informal_documents(spark, sf_dir):
     return out.select("word", F.array_join("candidates", "|").alias("candidates"))
 
 
+def informal_texts(spark, sf_dir):
+    """The words of miras_doc's normalized sentences with what they may stand for."""
+    docs = over_all_cores(_table(spark, sf_dir, "miras_doc").select("line_no", "text").distinct())
+    forms, verb_map = verbs.verb_forms(samples.roots(spark), joined=False), informal.informal_verb_map(samples.informal_verbs(spark))
+    out = informal.normalize_text(docs, verb_map, samples.informal_words(spark), samples.lexicon(spark), forms)
+    return out.select("line_no", "sent_ix", "tok_ix", "token", F.array_join("candidates", "|").alias("candidates"))
+
+
 def informal_lemmas(spark, sf_dir):
     df = spark.createDataFrame([("واسه",), ("می‌تونم",), ("رفتن",), ("کتاب",)], "word string")
     return informal.lemmatize_informal(df, samples.lexicon(spark), verbs.verb_forms(samples.roots(spark)), samples.informal_words(spark), samples.informal_verbs(spark))
@@ -334,6 +342,23 @@ def subword_vectors_of_tokens(spark, sf_dir):
     return out.select("word", F.posexplode("vec").alias("i", "x")).select("word", "i", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
+def subword_neighbours(spark, sf_dir):
+    """The nearest word of the model for every distinct word of the documents, by subword vectors."""
+    m = source_vectors.read_subword_model(spark, samples.put(spark, "subword_model"))
+    words = written(dims.lexicon_from(_tokens(spark, sf_dir)).select("word"))
+    asked = written(embeddings.embed_subwords(words, m.vectors, m.buckets, m.minn, m.maxn, m.bucket).select(F.xxhash64("word").alias("query"), F.col("word").alias("asked"), "vec"))
+    own = embeddings.embed_subwords(m.vectors, m.vectors, m.buckets, m.minn, m.maxn, m.bucket).join(m.vectors.select("word", "ix"), "word").select("ix", "word", "vec")
+    out = embeddings.most_similar(asked, own, 1, exclude_self=False).join(asked.select("query", "asked"), "query")
+    return out.select("asked", "rank", "word", F.round("similarity", 5).alias("similarity"))
+
+
+def subword_known(spark, sf_dir):
+    """Whether the documents' distinct words have a row or a subword of the model."""
+    m = source_vectors.read_subword_model(spark, samples.put(spark, "subword_model"))
+    words = dims.lexicon_from(_tokens(spark, sf_dir)).select("word")
+    return embeddings.contains(words, m.vectors, subwords=(m.minn, m.maxn, m.bucket))
+
+
 def pipeline_sentences(spark, sf_dir):
     """Documents normalized without a lexicon, cut into sentences and words."""
     out = TextPipeline().tokenize_sentences(_docs(spark, sf_dir))
@@ -445,9 +470,9 @@ TEXT: dict[str, Query] = {
 
 OPERATORS: list[Query] = [
     token_top, sentence_rows, token_counts, token_rows, stems, lexicon_counts, stopword_free, stopword_hits, sorted_stopwords, verb_parts_joined, masks, masked_documents, normalized_simple, normalized_full, normalize_cases,
-    conjugations, verb_form_table, lemmas_of_tokens, lemma_cases, token_splits, informal_verbs, informal_cases, informal_documents, informal_lemmas, informal_lemmas_of_tokens, informal_stem_map,
+    conjugations, verb_form_table, lemmas_of_tokens, lemma_cases, token_splits, informal_verbs, informal_cases, informal_documents, informal_texts, informal_lemmas, informal_lemmas_of_tokens, informal_stem_map,
     spell_probability, spell_edits, spell_candidates, spell_corrections, unigram_counts, bigram_counts, bigram_probability, unigram_probability, next_words, next_suggestions, sentence_perplexity, model_sizes,
-    vector_neighbours, vector_similarity, vector_odd_ones, vector_means, text_vectors_similarity, vector_lookup, vector_known, subword_vectors, subword_vectors_of_tokens, pipeline_sentences, parser_input, parser_input_of_sentences, streamed_counts,
+    vector_neighbours, vector_similarity, vector_odd_ones, vector_means, text_vectors_similarity, vector_lookup, vector_known, subword_vectors, subword_vectors_of_tokens, subword_neighbours, subword_known, pipeline_sentences, parser_input, parser_input_of_sentences, streamed_counts,
 ]
 
 

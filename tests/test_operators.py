@@ -4,6 +4,8 @@ import math
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parsloom.operators import dims, embeddings, informal, lemmas, ngrams, normalize, spell, verbs
@@ -227,3 +229,53 @@ def test_pipeline(spark):
     assert rows(p.stem(words(spark, "کتابی")), "word") == [("کتابی", "کتاب")]
     with pytest.raises(ValueError):
         TextPipeline().lemmatize(words(spark, "x"))
+
+
+def single_edits(w, letters):
+    n = len(w)
+    out = {w[:i] + w[i + 1 :] for i in range(n)} | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(n - 1)}
+    return out | {w[:i] + c + w[i + 1 :] for i in range(n) for c in letters} | {w[:i] + c + w[i:] for i in range(n + 1) for c in letters}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcd", max_size=6), st.text(alphabet="abcd", max_size=6), st.sampled_from(["abcd", "abx", "a"]))
+def test_two_edits_against_brute_force(a, b, letters):
+    near = {y for x in single_edits(a, letters) for y in single_edits(x, letters)} | single_edits(a, letters) | {a}
+    assert spell._within(a, b, 2, frozenset(letters)) == (b in near)
+
+
+def test_a_phrase_in_informal_persian(spark):
+    """The normalizer, the cuts and the formal words in one operator."""
+    df = spark.createDataFrame([(1, "واسه  كتاب. می‌تونم"), (2, None), (3, "")], "id int, text string")
+    args = informal.informal_verb_map(samples.informal_verbs(spark)), samples.informal_words(spark), samples.lexicon(spark), verbs.verb_forms(samples.roots(spark), joined=False)
+    got = [(r["id"], r["sent_ix"], r["tok_ix"], r["token"], r["candidates"][0]) for r in informal.normalize_text(df, *args).orderBy("id", "sent_ix", "tok_ix").collect()]
+    assert [x[:4] for x in got] == [(1, 0, 0, "واسه"), (1, 0, 1, "کتاب"), (1, 0, 2, "."), (1, 1, 0, "می‌تونم")]
+    assert got[0][4] == "برای" and got[1][4] == "کتاب" and got[3][4] == "می‌توانم"
+    assert informal.normalize_text(df.limit(0), *args).count() == 0
+
+
+def test_subwords_make_a_word_known(spark):
+    vecs = spark.createDataFrame([(0, "کتاب", [1.0, 0.0])], "ix bigint, word string, vec array<float>")
+    df = spark.createDataFrame([("کتاب",), ("ab",), ("",), (None,)], "word string")
+    known = lambda grams: {r["word"]: r["known"] for r in embeddings.contains(df, vecs, subwords=grams).collect()}
+    assert known((3, 6, 10)) == {"کتاب": True, "ab": True, "": False, None: False}
+    assert known((5, 6, 10)) == {"کتاب": True, "ab": False, "": False, None: False} == known((0, 0, 0))
+
+
+def test_means_of_very_many_vectors_are_folded_before_the_shuffle(spark):
+    vecs = spark.range(2000).select(F.col("id").alias("ix"), F.col("id").cast("string").alias("word"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vec"))
+    sents = spark.createDataFrame([(1, [str(i) for i in range(2000)] + ["0", None, "no"]), (2, ["no"]), (3, None)], "key int, tokens array<string>")
+    got = {r["key"]: r["embedding"] for r in embeddings.embed_sentences(sents, vecs).collect()}
+    assert abs(got[1][0] - 1999 * 1000 / 2001) < 1e-6 and got[1][1] == 1.0 and got[2] == [0.0, 0.0] == got[3]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as S
+
+    from parsloom.operators import tables
+
+    none = S(isDefined=lambda: False)
+    sc = S(master="spark://x:7077", _jsc=S(sc=lambda: S(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(S(conf=S(get=lambda *_: None), sparkContext=sc))
+    assert tables.shared_dir(S(conf=S(get=lambda *_: "hdfs://x"), sparkContext=sc)) == "hdfs://x"
