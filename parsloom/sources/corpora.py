@@ -191,7 +191,7 @@ def mirastext(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _by_line(spark: SparkSession, path: str) -> DataFrame:
-    return text.numbered(text.whole(spark, path)).select("line_no", "line")
+    return text.numbered_lines(spark, path).select("line_no", "line")
 
 
 def mizan_persian(spark: SparkSession, path: str) -> DataFrame:
@@ -221,7 +221,7 @@ def plain_text(spark: SparkSession, path: str, participles: tuple[str, ...] = ()
 def persica(spark: SparkSession, path: str) -> DataFrame:
     """(file, record, id, title, text, date, time, category, category2) of records of seven lines; final commas go, an id that is
     no number is 0, a record of fewer lines at the end is dropped."""
-    lines = text.numbered(text.whole(spark, path).withColumn("value", F.regexp_replace("value", "\\A\\x{FEFF}+", "")))
+    lines = text.numbered_lines(spark, path).withColumn("line", F.when(F.col("line_no") == 0, F.regexp_replace("line", "\\A\\x{FEFF}+", "")).otherwise(F.col("line")))
     names = ["id", "title", "text", "date", "time", "category", "category2"]
     value = F.regexp_replace(trim(F.col("line")), ",+\\z", "")
     rows = lines.select("file", (F.col("line_no") / 7).cast("int").alias("record"), (F.col("line_no") % 7).alias("i"), value.alias("v"))
@@ -259,7 +259,7 @@ def peykare(spark: SparkSession, path: str, universal: bool = False, table: str
 
 def pn_summary(spark: SparkSession, path: str, subset: str = "all") -> DataFrame:
     """(file, id, title, article, summary, category, categories, network, link) of tab-separated rows of eight columns; headers are skipped."""
-    rows = text.numbered(text.whole(spark, path, "*.csv").where(text.has_name(subset))).where("line_no > 0").select("file", F.split("line", "\t", 8).alias("c")).where(F.size("c") >= 8)
+    rows = text.numbered_lines(spark, path, "*.csv").where(text.has_name(subset)).where("line_no > 0").select("file", F.split("line", "\t", 8).alias("c")).where(F.size("c") >= 8)
     names = ["id", "title", "article", "summary", "category"]
     return rows.select("file", *[F.col("c")[i].alias(n) for i, n in enumerate(names)], F.split(F.col("c")[4], r"\+", -1).alias("categories"), F.col("c")[5].alias("network"), F.col("c")[6].alias("link"))
 

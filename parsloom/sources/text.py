@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+
 def from_file() -> Column:
     return F.col("_metadata.file_path").alias("file")
 
@@ -28,6 +30,19 @@ def lines(spark: SparkSession, path: str | list[str], glob: str | None = None, r
     return r.text(p).select(from_file(), F.col("value"))
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """(file, line_no, line) like numbered, of files that split over tasks at any size.
+
+    The lines of a split are counted first; a split's lines are numbered from the sum of those before it in its file, which are
+    as many rows as there are splits. A carriage return before a line end goes."""
+    r, p = _read(spark, path, glob, recursive)
+    placed = r.option("lineSep", "\n").text(p).select(from_file(), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"), F.regexp_replace("value", "\r\\z", "").alias("line"))
+    splits = placed.groupBy("file", "_at").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    before = W.partitionBy("file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.select("file", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), ["file", "_at"]).select("file", (F.col("_i") - F.col("_first") + F.col("_before")).cast("int").alias("line_no"), "line")
+
+
 def numbered(df: DataFrame, value: str = "value") -> DataFrame:
     """(file, line_no, line) of whole files, numbered from 0; a final line end begins no line, and a carriage return before a line end goes."""
     body = F.regexp_replace(F.col(value), "\n\\z", "")
