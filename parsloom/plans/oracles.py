@@ -6,7 +6,7 @@ from __future__ import annotations
 from parsloom.functions import chars
 from parsloom.functions import tokens as tk
 from parsloom.functions.stem import ORDER
-from parsloom.operators import spell, verbs
+from parsloom.operators import verbs
 from parsloom.operators.informal import SUFFIXES
 from parsloom.plans import samples
 
@@ -101,14 +101,51 @@ _SPELL = (
     f"lex_words AS (SELECT unnest({_words('corrected')}) AS word FROM spell_entry WHERE corrected IS NOT NULL), lexicon AS (SELECT word, count(*) AS frequency FROM lex_words GROUP BY word),"
     f" asked AS (SELECT entry_id, unnest({_words('misspelled')}) AS word FROM spell_entry WHERE misspelled IS NOT NULL), words AS (SELECT DISTINCT word FROM asked)"
 )
-_EDITS = (
-    f"letters AS (SELECT c FROM {_values([(c,) for c in spell.ALPHABET], ['c'])}), places AS (SELECT word, unnest(range(0, length(word) + 1)) AS i FROM words),"
-    " edits AS ("
-    "SELECT word, substr(word, 1, i) || substr(word, i + 2) AS candidate FROM places WHERE i < length(word)"
-    " UNION SELECT word, substr(word, 1, i) || substr(word, i + 2, 1) || substr(word, i + 1, 1) || substr(word, i + 3) FROM places WHERE i + 1 < length(word)"
-    " UNION SELECT word, substr(word, 1, i) || c || substr(word, i + 2) FROM places, letters WHERE i < length(word) AND c <> substr(word, i + 1, 1)"
-    " UNION SELECT word, substr(word, 1, i) || c || substr(word, i + 1) FROM places, letters)"
+#: The letters that may be put into a word, and a verb's auxiliaries before and after its participle.
+SPELL_LETTERS = "ا آ أ إ ب پ ت ث ج چ ح خ د ذ ر ز ژ س ش ص ض ط ظ ع غ ف ق ک ك گ ل م ن و ؤ ه ة ۀ ی ي ى ئ".split()
+
+
+def _edits(words: str, places: str, edits: str) -> str:
+    """The strings one edit away from each word of a table."""
+    return (
+        f"{places} AS (SELECT word, unnest(range(0, length(word) + 1)) AS i FROM {words}), {edits} AS ("
+        f"SELECT word, substr(word, 1, i) || substr(word, i + 2) AS candidate FROM {places} WHERE i < length(word)"
+        f" UNION SELECT word, substr(word, 1, i) || substr(word, i + 2, 1) || substr(word, i + 1, 1) || substr(word, i + 3) FROM {places} WHERE i + 1 < length(word)"
+        f" UNION SELECT word, substr(word, 1, i) || c || substr(word, i + 2) FROM {places}, letters WHERE i < length(word) AND c <> substr(word, i + 1, 1)"
+        f" UNION SELECT word, substr(word, 1, i) || c || substr(word, i + 1) FROM {places}, letters)"
+    )
+
+
+_EDITS = f"letters AS (SELECT c FROM {_values([(c,) for c in SPELL_LETTERS], ['c'])}), {_edits('words', 'places', 'edits')}"
+#: Itself where known, else known words one edit away, else two, else itself.
+_CANDIDATES = (
+    f"{_SPELL}, {_EDITS}, unknown AS (SELECT word FROM words WHERE word NOT IN (SELECT word FROM lexicon)), one AS (SELECT word, candidate FROM edits WHERE word IN (SELECT word FROM unknown) AND candidate IN (SELECT word FROM lexicon)),"
+    " far AS (SELECT word FROM unknown WHERE word NOT IN (SELECT word FROM one)), between AS (SELECT word AS start, candidate AS word FROM edits WHERE word IN (SELECT word FROM far)), mids AS (SELECT DISTINCT word FROM between),"
+    f" {_edits('mids', 'mid_places', 'mid_edits')}, two AS (SELECT DISTINCT b.start AS word, m.candidate FROM mid_edits m JOIN between b ON b.word = m.word WHERE m.candidate IN (SELECT word FROM lexicon)),"
+    " candidates AS (SELECT word, word AS candidate FROM words WHERE word IN (SELECT word FROM lexicon) UNION ALL SELECT word, candidate FROM one UNION ALL SELECT word, candidate FROM two"
+    " UNION ALL SELECT word, word FROM far WHERE word NOT IN (SELECT word FROM two))"
 )
+
+
+def _join_verb_parts() -> str:
+    """A fold over a sentence's tokens from the right; what is done stands in one string, the newest part first."""
+    before, parts = ", ".join(map(_q, WILL)), ", ".join(_q(n + p + "ه") for p in dict.fromkeys(p for p, _ in samples.VERBS) for n in ("", "ن"))
+    step = f"CASE WHEN x IN ({before}) OR (split_part(done, chr(1), 1) IN (SELECT aux FROM after_verbs) AND x IN ({parts})) THEN x || '_' || done ELSE x || chr(1) || done END"
+    step = step.replace("(SELECT aux FROM after_verbs)", "(" + ", ".join(map(_q, AFTER)) + ")")
+    done = f"string_split(list_reduce(list_concat([''], list_reverse(tokens)), lambda done, x: {step}), chr(1))"
+    return f"SELECT doc_id, sent_ix, words FROM (SELECT doc_id, sent_ix, array_to_string(CASE WHEN len(tokens) <= 1 THEN tokens ELSE {done}[:-2] END, ' ') AS words FROM tokenized) WHERE contains(words, '_')"
+
+
+#: The auxiliaries before a past root, and after a participle.
+WILL = "خواهم خواهی خواهد خواهیم خواهید خواهند نخواهم نخواهی نخواهد نخواهیم نخواهید نخواهند".split()
+AFTER = (
+    "ام ای است ایم اید اند بودم بودی بود بودیم بودید بودند باشم باشی باشد باشیم باشید باشند "
+    "شده_ام شده_ای شده_است شده_ایم شده_اید شده_اند شده_بودم شده_بودی شده_بود شده_بودیم شده_بودید شده_بودند شده_باشم شده_باشی شده_باشد شده_باشیم شده_باشید شده_باشند "
+    "نشده_ام نشده_ای نشده_است نشده_ایم نشده_اید نشده_اند نشده_بودم نشده_بودی نشده_بود نشده_بودیم نشده_بودید نشده_بودند نشده_باشم نشده_باشی نشده_باشد نشده_باشیم نشده_باشید نشده_باشند "
+    "شوم شوی شود شویم شوید شوند شدم شدی شد شدیم شدید شدند نشوم نشوی نشود نشویم نشوید نشوند نشدم نشدی نشد نشدیم نشدید نشدند "
+    "می‌شوم می‌شوی می‌شود می‌شویم می‌شوید می‌شوند می‌شدم می‌شدی می‌شد می‌شدیم می‌شدید می‌شدند نمی‌شوم نمی‌شوی نمی‌شود نمی‌شویم نمی‌شوید نمی‌شوند نمی‌شدم نمی‌شدی نمی‌شد نمی‌شدیم نمی‌شدید نمی‌شدند "
+    "خواهم_شد خواهی_شد خواهد_شد خواهیم_شد خواهید_شد خواهند_شد نخواهم_شد نخواهی_شد نخواهد_شد نخواهیم_شد نخواهید_شد نخواهند_شد"
+).split()
 _V = "v AS (SELECT vec_id AS ix, CAST(vec_id AS VARCHAR) AS word, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings)"
 _COS = "CASE WHEN sqrt(list_sum([x * x FOR x IN {a}])) * sqrt(list_sum([x * x FOR x IN {b}])) = 0 THEN 0.0 ELSE list_sum([{a}[i] * {b}[i] FOR i IN range(1, len({a}) + 1)]) / (sqrt(list_sum([x * x FOR x IN {a}])) * sqrt(list_sum([x * x FOR x IN {b}]))) END"
 Z = "‌"
@@ -278,6 +315,10 @@ def oracle_sql() -> dict[str, str]:
         " SELECT DISTINCT past AS informal, past AS formal, 'past' AS tense FROM (SELECT past FROM roots UNION SELECT past FROM iv) UNION ALL SELECT informal, formal, 'present' FROM (SELECT present AS informal, present AS formal FROM roots UNION SELECT spoken, present FROM iv WHERE spoken NOT IN (SELECT present FROM roots))",
         "spell_probability": f"WITH {_SPELL}, total AS (SELECT sum(frequency) AS n FROM lexicon) SELECT w.word, round(coalesce(l.frequency, 0) / total.n, 9) AS probability FROM words w CROSS JOIN total LEFT JOIN lexicon l ON l.word = w.word",
         "spell_edits": f"WITH {_SPELL}, {_EDITS} SELECT DISTINCT word, candidate FROM edits WHERE candidate IN (SELECT word FROM lexicon)",
+        "spell_candidates": f"WITH {_CANDIDATES} SELECT word, candidate FROM candidates",
+        "spell_corrections": f"WITH {_CANDIDATES}, best AS (SELECT word, candidate AS correction FROM (SELECT c.word, c.candidate, row_number() OVER (PARTITION BY c.word ORDER BY coalesce(l.frequency, 0) DESC, c.candidate) AS r FROM candidates c LEFT JOIN lexicon l ON l.word = c.candidate) WHERE r = 1)"
+        " SELECT entry_id, word, correction FROM asked JOIN best USING (word)",
+        "verb_parts_joined": f"WITH {_TOKENIZED} {_join_verb_parts()}",
         "unigram_counts": f"WITH {_MODEL} SELECT w, c FROM uni",
         "bigram_counts": f"WITH {_MODEL} SELECT prev, w, c FROM bi",
         "bigram_probability": f"WITH {_MODEL} SELECT b.prev, b.w, {probability} AS probability FROM bi b CROSS JOIN tot JOIN uni u ON u.w = b.prev",
