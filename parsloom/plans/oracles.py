@@ -151,6 +151,21 @@ _COS = "CASE WHEN sqrt(list_sum([x * x FOR x IN {a}])) * sqrt(list_sum([x * x FO
 Z = "‌"
 
 
+def _affixes(x: str) -> str:
+    """The affix rules without look-around: a mark before each place where a word may end stands for looking ahead, and a rule that
+    looks behind is applied twice, as it takes what the next place looks at."""
+    end, inner = r"[ \n.:!،؛؟»\])}«\[({]", r"[^\n\p{Nd} .:!،؛؟»\])}«\[({\x{1}]"
+    swap = lambda x, pattern, by: f"regexp_replace({x}, {_q_plain(pattern)}, {_q_plain(by)}, 'g')"
+    x = swap(swap(x, "([^ ]ه) ی ", f"\\1{Z}ی "), "(^| )(ن?می) ", f"\\1\\2{Z}")
+    x = f"regexp_replace({x}, {_q_plain('(' + end + ')')}, chr(1) || {_q_plain(chr(92) + '1')}, 'g') || chr(1)"
+    for _ in range(2):
+        x = f"regexp_replace({x}, {_q_plain('(' + inner + '{2})' + chr(92) + 'x{1} (تر(?:ین?)?|گری?|های?)' + chr(92) + 'x{1}')}, {_q_plain(chr(92) + '1' + Z + chr(92) + '2')} || chr(1), 'g')"
+    ends = r"([^ ]ه)\x{1} (ا(?:م|یم|ش|ند|ی|ید|ت))\x{1}([ \n.:!،؛؟»\])}]|$)"
+    for _ in range(2):
+        x = f"regexp_replace({x}, {_q_plain(ends)}, {_q_plain(chr(92) + '1' + Z + chr(92) + '2')} || chr(1) || {_q_plain(chr(92) + '3')}, 'g')"
+    return swap(f"replace({x}, chr(1), '')", "(ه)(ها)", f"\\1{Z}\\2")
+
+
 def _text(expression: str) -> str:
     return f"SELECT doc_id, {expression} AS text FROM documents"
 
@@ -315,6 +330,8 @@ def oracle_sql() -> dict[str, str]:
         " SELECT DISTINCT past AS informal, past AS formal, 'past' AS tense FROM (SELECT past FROM roots UNION SELECT past FROM iv) UNION ALL SELECT informal, formal, 'present' FROM (SELECT present AS informal, present AS formal FROM roots UNION SELECT spoken, present FROM iv WHERE spoken NOT IN (SELECT present FROM roots))",
         "spell_probability": f"WITH {_SPELL}, total AS (SELECT sum(frequency) AS n FROM lexicon) SELECT w.word, round(coalesce(l.frequency, 0) / total.n, 9) AS probability FROM words w CROSS JOIN total LEFT JOIN lexicon l ON l.word = w.word",
         "spell_edits": f"WITH {_SPELL}, {_EDITS} SELECT DISTINCT word, candidate FROM edits WHERE candidate IN (SELECT word FROM lexicon)",
+        "affix_space": _text(_affixes("text")),
+        "subword_known": f"WITH {_TOKENS} SELECT DISTINCT token AS word, token IN ('ایران', 'تهران') OR strlen(token) + 2 >= 3 AS known FROM tokens",
         "spell_candidates": f"WITH {_CANDIDATES} SELECT word, candidate FROM candidates",
         "spell_corrections": f"WITH {_CANDIDATES}, best AS (SELECT word, candidate AS correction FROM (SELECT c.word, c.candidate, row_number() OVER (PARTITION BY c.word ORDER BY coalesce(l.frequency, 0) DESC, c.candidate) AS r FROM candidates c LEFT JOIN lexicon l ON l.word = c.candidate) WHERE r = 1)"
         " SELECT entry_id, word, correction FROM asked JOIN best USING (word)",
