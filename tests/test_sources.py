@@ -82,3 +82,20 @@ def test_tags_for_sentences(spark):
     df = spark.createDataFrame([(1, ["الف", "ب"])], "i int, words array<string>")
     tagger: pipeline.Tagger = lambda tokens: F.transform(tokens, lambda t: F.when(t == "ب", "N").otherwise("X"))
     assert pipeline.tag_sentences(df, tagger).head()["tags"] == ["X", "N"]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """Files of many splits, carriage returns, blank lines and no final line end: numbered as whole files are."""
+    (tmp_path / "a.txt").write_text("\n".join(f"line {i} " + "x" * (i % 50) + ("\r" if i % 3 else "") for i in range(2000)), encoding="utf-8", newline="")
+    (tmp_path / "b.txt").write_text("یک\n\nدو\n", encoding="utf-8", newline="")
+    (tmp_path / "c.txt").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        df = text.numbered_lines(spark, str(tmp_path))
+        got = sorted(tuple(r) for r in df.collect())
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = sorted((r["file"], r["line_no"], r["line"].removesuffix("\r")) for r in text.numbered(text.whole(spark, str(tmp_path))).collect())
+    assert got == want and len(want) == 2003
