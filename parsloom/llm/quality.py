@@ -210,7 +210,7 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
     units = []
     seen: dict[int, int] = {}
     frequent = _frequent(common)
-    cells, marked = bool(_CELLS.search(text)), bool(_MARKUP.search(text))
+    cells, marked = bool(_CELLS.search(text)), bool(_MARKUP.search(text))  # most texts have none: their units needn't be searched
     for end in unit_ends(text):
         unit = text[at:end]
         for piece in _pieces(unit) if cells else (unit,):
