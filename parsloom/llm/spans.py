@@ -8,7 +8,9 @@ LEAST and more.
 
 Exact copies are one class with one representative. A seed of very many records, as a phrase shorter than a span in a
 third of them, isn't paired off: its records are told apart by all the spans that could hold it, and only equal spans
-pair, in classes: members of a large class are paired with its representative. No task has a whole group.
+pair, in classes. Every pair of a class comes out, block against block; the short form instead pairs the members of a
+large class with its representative. Two records that are paired are aligned by all seeds they share, those of very many
+records too. No task has a whole group.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ LEAST = 300
 SEED = 192
 #: Records in a block of a pairing; a seed in more records than HOT is paired by its spans.
 BLOCK, HOT = 64, 64
-#: Classes of more records than this, copies or holders of one span, are given as pairs of each member and the representative.
+#: Classes of more records than this, copies or holders of one span, are given as pairs of each member and the representative where
+#: the short form is asked for; otherwise all their pairs are given by the classes themselves, without aligning each.
 COPIES = 64
 #: Places of a seed in two records, multiplied, from which on they are paired by the spans around them.
 PLACES = 64
@@ -197,15 +200,26 @@ def _span_classes(spans: DataFrame) -> DataFrame:
     return marked.groupBy("n", "x", "y").agg(F.min(F.struct("first", "second", "rep")).alias("s")).select("s.*")
 
 
-def _hot_matches(spans: DataFrame) -> DataFrame:
-    """(a, b, places_a, places_b) of records with a same span: all pairs of a class of up to COPIES records, of a larger one each
-    member with the representative."""
-    rows = written(spans.join(_span_classes(spans), ["first", "second"]).select("first", "second", "doc_id", "n", "rep", F.col("starts").alias("places")))
-    small = _paired(rows.where(F.col("n") <= COPIES), ["first", "second"], ["places"])
-    large = rows.where(F.col("n") > COPIES)
-    reps = large.where(F.col("doc_id") == F.col("rep")).select("first", "second", F.col("doc_id").alias("a"), F.col("places").alias("places_a"))
-    star = large.where(F.col("doc_id") != F.col("rep")).join(reps, ["first", "second"]).select("a", F.col("doc_id").alias("b"), "places_a", F.col("places").alias("places_b"))
-    return small.select("a", "b", "places_a", "places_b").unionByName(star)
+def _members(spans: DataFrame) -> DataFrame:
+    """(first, second, doc_id, start, n, rep): the records of one span of each set of records."""
+    return written(spans.join(_span_classes(spans), ["first", "second"]).select("first", "second", "doc_id", F.element_at("starts", 1).alias("start"), "n", "rep"))
+
+
+def _hot_pairs(members: DataFrame, large: str) -> DataFrame:
+    """(a, b) of records with a same span: all pairs of a class of up to COPIES records; of a larger one all, those with the
+    representative (star), or none."""
+    pairs = _paired(members if large == "all" else members.where(F.col("n") <= COPIES), ["first", "second"], []).select("a", "b")
+    if large == "star":
+        pairs = pairs.unionByName(members.where((F.col("n") > COPIES) & (F.col("doc_id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    return pairs.distinct()
+
+
+def _large_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b) of all pairs of the span classes of more than COPIES records; the span itself tells who is in a class."""
+    large = members.where(F.col("n") > COPIES)
+    texts = _only(docs, written(large.select("doc_id").distinct()))
+    told = large.join(texts, "doc_id").select("first", "second", F.expr(f"md5(substring(text, start + 1, {LEAST}))").alias("span"), "doc_id", "n")
+    return _paired(told, ["first", "second", "span"], []).select("a", "b").distinct()
 
 
 def chains(matches: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -331,9 +345,14 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rough = pa.list_(pa.struct([("start_a", pa.int32()), ("end_a", pa.int32()), ("start_b", pa.int32()), ("end_b", pa.int32())]))
     for batch in batches:
         a, b, exact, fuzzy = [], [], [], []
-        for x, y, places, s, t in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        hot = (((h.as_py() or ()) for h in batch.column(i)) for i in (5, 6))
+        for x, y, places, s, t, p, q in zip(*(batch.column(i).to_pylist() for i in range(5)), *hot):
             around = _Spans(s, t)
-            f, e = passages(s, t, [m for one in places for m in around.matches(one["places_a"], one["places_b"])])
+            matches = [m for one in places for m in around.matches(one["places_a"], one["places_b"])]
+            if p and q:
+                ours = {one["seed"]: one["places"] for one in p}
+                matches += [m for one in q if one["seed"] in ours for m in around.matches(ours[one["seed"]], one["places"])]
+            f, e = passages(s, t, matches)
             if e:
                 a.append(x), b.append(y)
                 exact.append([dict(zip(("start_a", "start_b", "length"), z)) for z in e])
@@ -341,45 +360,65 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(exact, kinds), pa.array(fuzzy, rough)], ["a", "b", "spans", "passages"])
 
 
-def _class_pairs(docs: DataFrame, placed: DataFrame, hot: DataFrame | None) -> DataFrame:
+def _class_pairs(docs: DataFrame, placed: DataFrame, members: DataFrame | None, large: str) -> DataFrame:
     """(a, b, spans, passages): pairs of representatives of different text with a shared span, a < b, by their seeds, and by the spans
-    around hot seeds."""
-    found = _paired(placed.where(F.col("n") <= HOT), ["seed"], ["places"]).select("a", "b", "places_a", "places_b")
-    if hot is not None:
-        found = found.unionByName(_hot_matches(hot))
-    matches = written(found.groupBy("a", "b").agg(F.collect_list(F.struct("places_a", "places_b")).alias("places")))
+    around hot seeds; those of large span classes as in _hot_pairs. All seeds of a pair are aligned, hot ones too."""
+    found = _paired(placed.where(F.col("n") <= HOT), ["seed"], ["places"]).select("a", "b", F.struct("places_a", "places_b").alias("places"))
+    if members is not None:
+        found = found.unionByName(_hot_pairs(members, large).select("a", "b", F.lit(None).cast(found.schema["places"].dataType).alias("places")))
+    matches = written(found.groupBy("a", "b").agg(F.collect_list("places").alias("places")))
     ids = written(matches.select(F.col("a").alias("doc_id")).union(matches.select("b")).distinct())
     texts = _only(docs, ids)
-    both = matches.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "places", "text_a", "text_b").mapInArrow(
+    if members is None:
+        texts = texts.withColumn("seeds", F.lit(None).cast("array<struct<seed:bigint,places:array<int>>>"))
+    else:
+        hot = placed.where(F.col("n") > HOT).groupBy("doc_id").agg(F.collect_list(F.struct("seed", "places")).alias("seeds"))
+        texts = texts.join(hot, "doc_id", "left")
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"), F.col("seeds").alias(f"seeds_{c}"))
+    both = matches.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "places", "text_a", "text_b", "seeds_a", "seeds_b").mapInArrow(
         _aligned, "a bigint, b bigint, spans array<struct<start_a:int,start_b:int,length:int>>, passages array<struct<start_a:int,end_a:int,start_b:int,end_b:int>>"
     )
 
 
-def _searched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
-    """Documents, their copies, the spans around hot seeds, and the pairs of representatives with their spans and passages."""
+def _searched(docs: DataFrame, large: str = "star") -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None, DataFrame]:
+    """Documents, their copies, the spans around hot seeds and their classes, and the pairs of representatives with their spans and
+    passages."""
     docs, same = _prepared(docs)
     placed = _placed(docs, same.where("doc_id != rep"))
     hot = _hot_spans(docs, placed)
-    return docs, same, hot, _class_pairs(docs, placed, hot)
+    members = None if hot is None else _members(hot)
+    return docs, same, hot, members, _class_pairs(docs, placed, members, large)
 
 
-def shared_passages(docs: DataFrame) -> DataFrame:
+def shared_passages(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id_a, doc_id_b, start_a, end_a, start_b, end_b, exact_chars): the fuzzy passages of records that share a span of at least
     LEAST characters: what lies between the first and the last match of a chain, and how many of its characters in a are in exact
-    spans of LEAST and more. Copies are left to their representative, and members of a span's class of more than COPIES records are paired
-    with its representative; shared_classes has the members of both."""
-    pairs = _searched(docs)[3]
+    spans of LEAST and more. Two copies share the whole text.
+
+    whole gives the passages of all pairs, of which there may be as many as records by records. The short form leaves copies to their
+    representative, and pairs the members of a span's class of more than COPIES records with its representative; shared_classes has the
+    members of both."""
+    docs, same, _, _, pairs = _searched(docs, "all" if whole else "star")
     within = lambda p: F.aggregate(
         F.filter("spans", lambda s: (s["start_a"] >= p["start_a"]) & (s["start_a"] + s["length"] <= p["end_a"]) & (s["start_b"] >= p["start_b"]) & (s["start_b"] + s["length"] <= p["end_b"])),
         F.lit(0), lambda n, s: n + s["length"],
     )
     sized = F.transform("passages", lambda p: F.struct(*[p[c].alias(c) for c in ("start_a", "end_a", "start_b", "end_b")], within(p).alias("exact_chars")))
-    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), F.explode(sized).alias("p")).select("doc_id_a", "doc_id_b", "p.*")
+    pairs = pairs.select("a", "b", sized.alias("passages"))
+    if whole:
+        sizes = same.join(docs.select("doc_id", F.length("text").alias("size")), "doc_id")
+        all_of = F.struct(F.lit(0).alias("start_a"), F.col("size_a").alias("end_a"), F.lit(0).alias("start_b"), F.col("size_b").alias("end_b"), F.col("size_a").alias("exact_chars"))
+        among = _paired(sizes, ["rep"], ["size"]).select("a", "b", F.array(all_of).alias("passages"))
+        pairs = _with_copies(_with_copies(pairs, "a", same), "b", same).unionByName(among)
+    rows = pairs.select("a", "b", F.explode("passages").alias("p"))
+    swap = {"start_a": "start_b", "end_a": "end_b", "start_b": "start_a", "end_b": "end_a"}
+    turned = [F.when(F.col("a") < F.col("b"), F.col(f"p.{c}")).otherwise(F.col(f"p.{other}")).alias(c) for c, other in swap.items()]
+    return rows.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"), *turned, "p.exact_chars")
 
 
 def shared_classes(docs: DataFrame) -> DataFrame:
-    """(kind, class_id, doc_id, rep, members): the members of every class that shared_pairs may give as pairs with its
+    """(kind, class_id, doc_id, rep, members): the members of every class that the short form of shared_pairs may give as pairs with its
     representative: of equal texts (kind text, class_id the representative) and, of more than COPIES records, of one span
     (kind span, class_id the span's hash). Any two members of a class share a span, so with these rows every link can be told."""
     docs, same = _prepared(docs)
@@ -396,34 +435,46 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs, written(copies(docs))
 
 
-def _spread_out(pairs: DataFrame, same: DataFrame) -> DataFrame:
+def _with_copies(pairs: DataFrame, side: str, same: DataFrame) -> DataFrame:
+    """The pairs with each copy in turn for the representative in column side, a block of copies at a time."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    reps = same.where("doc_id = rep").select(F.col("rep").alias(side), blocks.alias("_blocks"))
+    members = same.select(F.col("rep").alias(side), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("_i"), F.col("doc_id").alias("_copy"))
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))
+    wide = pairs.join(reps, side, "left").withColumn("_i", each).join(members, [side, "_i"], "left")
+    wide = wide.where(F.col("_blocks").isNull() | F.col("_copy").isNotNull())
+    return wide.select(*[F.coalesce("_copy", side).alias(c) if c == side else c for c in pairs.columns])
+
+
+def _spread_out(pairs: DataFrame, same: DataFrame, whole: bool) -> DataFrame:
     """Pairs of representatives as pairs of their copies, and the pairs among copies.
 
-    In classes of more than COPIES copies each copy is paired with the representative only: that is its membership."""
-    small = same.where(F.col("n") <= COPIES).select("rep", "doc_id")
-    pairs = pairs.select("a", "b")
-    pairs = pairs.join(small.select(F.col("rep").alias("a"), F.col("doc_id").alias("_a")), "a", "left").select(F.coalesce("_a", "a").alias("a"), "b")
-    pairs = pairs.join(small.select(F.col("rep").alias("b"), F.col("doc_id").alias("_b")), "b", "left").select("a", F.coalesce("_b", "b").alias("b"))
-    among = small.join(small.withColumnRenamed("doc_id", "other"), "rep").where("doc_id < other").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
-    members = same.where((F.col("n") > COPIES) & (F.col("doc_id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    every = pairs.unionByName(among).unionByName(members)
+    In the short form each copy of a class of more than COPIES is paired with the representative only: that is its membership."""
+    small = same if whole else same.where(F.col("n") <= COPIES)
+    every = _with_copies(_with_copies(pairs.select("a", "b"), "a", small), "b", small)
+    every = every.unionByName(_paired(small, ["rep"], []).select("a", "b"))
+    if not whole:
+        every = every.unionByName(same.where((F.col("n") > COPIES) & (F.col("doc_id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     return every.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
 
 
-def shared_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b), doc_id_a < doc_id_b, of all records that share a span of at least LEAST characters.
+def shared_pairs(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id_a, doc_id_b), doc_id_a < doc_id_b, of records that share a span of at least LEAST characters: with whole of all.
 
-    docs needs doc_id (unique) and text; null ids and texts and shorter texts share nothing. Copies, and the records that hold one
-    span, come as all pairs in classes of up to COPIES, beyond that each member is paired with the representative, which has the class's
-    other pairs; shared_classes has the members."""
-    _, same, _, pairs = _searched(docs)
-    return _spread_out(pairs, same)
+    docs needs doc_id (unique) and text; null ids and texts and shorter texts share nothing. In the short form copies, and the records
+    that hold one span, come as all pairs in classes of up to COPIES, beyond that each member is paired with the representative, which
+    has the class's other pairs; shared_classes has the members."""
+    docs, same, _, members, pairs = _searched(docs, "none" if whole else "star")
+    pairs = pairs.select("a", "b")
+    if whole and members is not None and not members.where(F.col("n") > COPIES).isEmpty():
+        pairs = pairs.unionByName(_large_pairs(docs, members))
+    return _spread_out(pairs, same, whole)
 
 
 def shared_amounts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, shared_chars, share): how much of each record of at least LEAST characters also stands in another one, in
     characters of exact shared spans. A copy of another record is shared wholly. Hot seeds cost no pairs here."""
-    docs, same, hot, pairs = _searched(docs)
+    docs, same, hot, _, pairs = _searched(docs)
     pairs = written(pairs.select("a", "b", "spans"))
     each = pairs.select("a", "b", F.explode("spans").alias("s"))
     parts = [each.select(F.col(r).alias("rep"), F.col(f"s.start_{r}").alias("lo"), (F.col(f"s.start_{r}") + F.col("s.length")).alias("hi")) for r in ("a", "b")]
