@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parsloom.llm.canon import Canon, canon
@@ -97,22 +97,22 @@ def excess_lines(lines: DataFrame, least_docs: int = LEAST_DOCS, least_share: fl
 
     The exact shares alone decide which lines those are; significant tells whether the test finds the line above what the
     other sources have, which it can't where all sources repeat it or there is no other. docs counts distinct keys. A line outside its source counts where it isn't itself in that share of a source, so that a
-    phrase which every source repeats isn't excused by the others. Rows are pre-aggregated by (source, line, key), so one
+    phrase which every source repeats isn't excused by the others. Every line of every source is a test and counts outside the
+    others, those of a single text too. Rows are pre-aggregated by (source, line, key), so one
     source with a third of all rows is spread over its lines; the totals of a source come from partial counts."""
     group = ["source_table", "source"]
     once = lines.where(F.col("line").isNotNull()).groupBy(*group, "line", "doc_key").agg(F.lit(1).alias("one"))
     within = once.groupBy(*group, "line").agg(F.count("one").alias("docs"))
     texts = lines.where(F.col("line").isNull()).groupBy(*group, "doc_key").agg(F.lit(1).alias("one")).groupBy(*group).agg(F.count("one").alias("texts"))
     texts = few(texts)  # a row for each source: a source with a third of all lines isn't brought into one task
-    tested = within.where(F.col("docs") >= 2).join(texts, group)
     share = F.col("docs") >= F.greatest(F.lit(float(least_docs)), F.col("texts") * F.lit(least_share))
-    tested = tested.withColumn("much", share)
+    tested = within.join(texts, group).withColumn("much", share)
     # outside a source: the other sources' documents, without the sources that repeat the line themselves
     total = texts.groupBy("source_table").agg(F.sum("texts").alias("all_texts"))
-    everywhere = tested.groupBy("source_table", "line").agg(F.sum(F.when(~F.col("much"), F.col("docs")).otherwise(0)).alias("ordinary"), F.sum(F.when(F.col("much"), F.col("texts")).otherwise(0)).alias("excessive"))
+    everywhere = Window.partitionBy("source_table", "line")  # a row for each source that has the line
     scored = (
-        tested.where(F.col("docs") >= least_docs)
-        .join(everywhere, ["source_table", "line"])
+        tested.withColumn("ordinary", F.sum(F.when(~F.col("much"), F.col("docs")).otherwise(0)).over(everywhere))
+        .withColumn("excessive", F.sum(F.when(F.col("much"), F.col("texts")).otherwise(0)).over(everywhere))
         .join(F.broadcast(total), "source_table")  # one row for each table
         .withColumn("out_docs", F.col("ordinary") - F.when(F.col("much"), F.lit(0)).otherwise(F.col("docs")))
         .withColumn("out_texts", F.greatest(F.col("all_texts") - F.col("excessive") - F.when(F.col("much"), F.lit(0)).otherwise(F.col("texts")), F.col("out_docs")))

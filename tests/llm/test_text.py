@@ -426,6 +426,19 @@ def test_repeated_lines_need_no_significance(spark):
     assert {r["source"]: r["significant"] for r in repeats.excess_lines(lines).where("source_table = 'near'").collect()} == {"in": False}
 
 
+def test_lines_of_single_texts_count_in_the_test(spark):
+    """A line that 40 other sources have once each, and a share that is no wonder among so many lines."""
+    rows = [("wide", f"a{i}", "a", "Foot" if i < 12 else f"text a{i}") for i in range(100)]
+    rows += [("wide", f"s{j}-{i}", f"s{j}", "Foot" if i == 0 else f"text {j} {i}") for j in range(40) for i in range(10)]
+    rows += [("many", f"x{i}", "x", "Near" if i < 3 else f"text x{i}") for i in range(50)] + [("many", f"y{i}", "y", f"text y{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "t string, id string, source string, text string")
+    lines = {t: repeats.written(repeats.lines_of(df.where(F.col("t") == t), F.col("id"), F.col("source"), F.col("text"), t)) for t in ("wide", "many")}
+    wide, many = (repeats.excess_lines(lines[t]).collect() for t in ("wide", "many"))
+    assert [(r["source"], r["docs"], r["texts"], round(r["g2"], 6), r["significant"]) for r in wide] == [("a", 12, 100, 0.298941, False)]
+    assert [(r["source"], r["docs"], r["significant"]) for r in many] == [("x", 3, False)]
+    assert repeats.repeated_lines(lines["many"], least_docs=1, least_share=0.0).count() == 250
+
+
 def test_repeated_lines_of_nothing(spark):
     df = spark.createDataFrame([], "id string, network string, article string")
     lines = repeats.written(repeats.lines_of(df, F.col("id"), repeats.network(F.col("network")), F.col("article"), "t"))
